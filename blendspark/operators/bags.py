@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blendspark.operators.lineage import cut
+
 SLACK = 1e-9
 
 
@@ -28,8 +30,10 @@ def collapse_copies(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
     and (recipe_id, bag_id, copies) for every recipe.
 
     Contents are compared by two 64-bit digests that are combined without order,
-    so no bag is ever collected.
+    so no bag is ever collected.  The matrix and the bags are read again and again
+    by what follows, so both are kept in the checkpoint folder.
     """
+    matrix = cut(matrix)
     digests = matrix.groupBy("recipe_id").agg(
         F.bit_xor(F.xxhash64(F.lit(1), "ingredient_id", "w")).alias("_x"),
         F.bit_xor(F.xxhash64(F.lit(2), "ingredient_id", "w")).alias("_y"),
@@ -38,9 +42,9 @@ def collapse_copies(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = digests.groupBy("_x", "_y", "_n").agg(
         F.min("recipe_id").alias("bag_id"), F.count("*").alias("copies")
     )
-    members = digests.join(groups, ["_x", "_y", "_n"]).select("recipe_id", "bag_id", "copies")
-    bags = matrix.join(groups.select(F.col("bag_id").alias("recipe_id")), "recipe_id", "left_semi")
-    return bags, members
+    members = cut(digests.join(groups, ["_x", "_y", "_n"]).select("recipe_id", "bag_id", "copies"))
+    kept = members.where("recipe_id = bag_id").select("recipe_id")
+    return cut(matrix.join(kept, "recipe_id", "left_semi")), members
 
 
 def copies_of(members: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def candidate_pairs(
     need: Callable[[Column], Column],
     need_pair: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """(id1, id2), id1 < id2: every pair whose overlap can reach what is needed."""
+    """(id1, id2, t1, t2), id1 < id2: every pair whose overlap can reach what is needed."""
     rare = rare_items(bags, need)
     left = rare.select(
         F.col("recipe_id").alias("id1"), "ingredient_id", F.col("total").alias("t1"), F.col("rest").alias("r1")
@@ -91,20 +95,33 @@ def candidate_pairs(
     met = left.join(right, "ingredient_id").where("id1 < id2")
     if need_pair is not None:
         met = met.where(F.least("r1", "r2") >= need_pair(F.col("t1"), F.col("t2")) - SLACK)
-    return met.select("id1", "id2").distinct()
+    return met.select("id1", "id2", "t1", "t2").distinct()
 
 
-def pair_overlaps(bags: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Given pairs with ``t1``, ``t2`` (row totals) and ``overlap`` (sum of minima).
-    Pairs that share nothing stay, with overlap 0."""
+def _shared(bags: DataFrame, pairs: DataFrame, *keys: str) -> DataFrame:
+    """``overlap`` (sum of minima) of the pairs that share something."""
     first = bags.select(F.col("recipe_id").alias("id1"), "ingredient_id", F.col("w").alias("w1"))
     second = bags.select(F.col("recipe_id").alias("id2"), "ingredient_id", F.col("w").alias("w2"))
-    shared = (
+    return (
         pairs.join(first, "id1")
         .join(second, ["id2", "ingredient_id"])
-        .groupBy("id1", "id2")
+        .groupBy("id1", "id2", *keys)
         .agg(F.sum(F.least("w1", "w2")).alias("overlap"))
     )
+
+
+def near_overlaps(
+    bags: DataFrame,
+    need: Callable[[Column], Column],
+    need_pair: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """(id1, id2, t1, t2, overlap) of the candidate pairs."""
+    return _shared(bags, candidate_pairs(bags, need, need_pair), "t1", "t2")
+
+
+def pair_overlaps(bags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for given pairs; those that share nothing stay, with overlap 0."""
+    shared = _shared(bags, pairs)
     totals = totals_of(bags)
     return (
         pairs.join(shared, ["id1", "id2"], "left")
@@ -140,16 +157,18 @@ def manhattan_pairs(
     smallest_total: float = 1.0,
 ) -> DataFrame:
     """(id1, id2, d): sum of absolute differences, for given pairs or up to a bound."""
-    if pairs is None:
-        if max_distance is None:
-            raise ValueError("pass pairs or max_distance")
-        pairs = candidate_pairs(
+    if pairs is not None:
+        overlaps = pair_overlaps(bags, pairs)
+    elif max_distance is not None:
+        overlaps = near_overlaps(
             bags,
             _needed(max_distance, smallest_total),
             lambda t1, t2: (t1 + t2 - max_distance) / 2,
         )
+    else:
+        raise ValueError("pass pairs or max_distance")
     d = F.col("t1") + F.col("t2") - 2 * F.col("overlap")
-    out = pair_overlaps(bags, pairs).select("id1", "id2", F.greatest(d, F.lit(0.0)).alias("d"))
+    out = overlaps.select("id1", "id2", F.greatest(d, F.lit(0.0)).alias("d"))
     return out if max_distance is None else out.where(F.col("d") <= max_distance + SLACK)
 
 
@@ -160,15 +179,17 @@ def _as_sets(bags: DataFrame) -> DataFrame:
 def jaccard_pairs(bags: DataFrame, max_distance: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(id1, id2, d): 1 - shared / united items."""
     sets = _as_sets(bags)
-    if pairs is None:
-        if max_distance is None or not 0 <= max_distance < 1:
-            raise ValueError("pass pairs or a max_distance below 1")
+    if pairs is not None:
+        overlaps = pair_overlaps(sets, pairs)
+    elif max_distance is not None and 0 <= max_distance < 1:
         least = 1 - max_distance
-        pairs = candidate_pairs(
+        overlaps = near_overlaps(
             sets, lambda n: n * least, lambda n1, n2: (n1 + n2) * (least / (1 + least))
         )
+    else:
+        raise ValueError("pass pairs or a max_distance below 1")
     d = 1 - F.col("overlap") / (F.col("t1") + F.col("t2") - F.col("overlap"))
-    out = pair_overlaps(sets, pairs).select("id1", "id2", d.alias("d"))
+    out = overlaps.select("id1", "id2", d.alias("d"))
     return out if max_distance is None else out.where(F.col("d") <= max_distance + SLACK)
 
 
@@ -179,15 +200,17 @@ def edit_distance_pairs(bags: DataFrame, max_distance: int | None = None, pairs:
     nothing are ``n1 + n2`` apart and are counted, not listed.
     """
     sets = _as_sets(bags)
-    if pairs is None:
-        if max_distance is None:
-            raise ValueError("pass pairs or max_distance")
-        pairs = candidate_pairs(
+    if pairs is not None:
+        overlaps = pair_overlaps(sets, pairs)
+    elif max_distance is not None:
+        overlaps = near_overlaps(
             sets,
             lambda n: F.greatest(n - max_distance, F.lit(1.0)),
             lambda n1, n2: F.greatest((n1 + n2 - max_distance) / 2, F.lit(1.0)),
         )
-    out = pair_overlaps(sets, pairs).select(
+    else:
+        raise ValueError("pass pairs or max_distance")
+    out = overlaps.select(
         "id1",
         "id2",
         F.col("t1").cast("long").alias("n1"),
