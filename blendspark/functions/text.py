@@ -81,22 +81,23 @@ def is_optional(name: Column) -> Column:
     return low.contains("optional") | low.contains("omit if")
 
 
-def brand_from_patterns(text: Column) -> Column:
-    """STRUCT<brand, cleaned> of the first pattern whose capture is a brand."""
-    found = []
+def brand_candidates(text: Column) -> list[Column]:
+    """What each pattern captures, in the order of the patterns; NULL for nothing
+    and for words that are no brand."""
+    out = []
     for pattern in BRAND_PATTERNS:
-        java = "(?iU)" + pattern
-        brand = F.lower(F.trim(F.regexp_extract(text, java, 1)))
-        rest = F.rtrim(F.trim(F.regexp_replace(text, java, "")), F.lit(","))
-        rest = F.trim(F.regexp_replace(rest, r"(?U)\s*\(\s*\)", ""))
-        found.append(
-            F.when(
-                (brand != "") & ~brand.isin(*USAGE_PHRASES),
-                F.struct(brand.alias("brand"), rest.alias("cleaned")),
-            )
-        )
-    nothing = F.struct(F.lit(None).cast("string").alias("brand"), text.alias("cleaned"))
-    return F.coalesce(*found, nothing)
+        brand = F.lower(F.trim(F.regexp_extract(text, "(?iU)" + pattern, 1)))
+        out.append(F.nullif(brand, F.lit("")))
+    return out
+
+
+def is_brand(candidate: Column) -> Column:
+    return candidate.isNotNull() & ~candidate.isin(*USAGE_PHRASES)
+
+
+def without_brand(text: Column, pattern: str) -> Column:
+    rest = F.rtrim(F.trim(F.regexp_replace(text, "(?iU)" + pattern, "")), F.lit(","))
+    return F.trim(F.regexp_replace(rest, r"(?U)\s*\(\s*\)", ""))
 
 
 def source_url(name: Column, prefix: str, suffix: str = "", ampersand: bool = False) -> Column:

@@ -46,3 +46,37 @@ def dense_index(rows: DataFrame, *order: str, name: str = "idx") -> DataFrame:
         .withColumn(name, F.col("_offset") + F.col("_row"))
         .drop("_mark", "_part", "_row", "_offset")
     )
+
+
+def prefix_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each one.  ``order`` has no ties.
+
+    Range partitions are summed on their own; one row per partition is carried on.
+    """
+    placed = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.sum(value).alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(offsets, "_part")
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_part", "_offset", "_inside")
+    )
+
+
+def quantile(rows: DataFrame, column: str, q: float) -> float | None:
+    """Exact quantile with linear interpolation, by a distributed sort."""
+    values = dense_index(rows.select(F.col(column).alias("_v")).where("_v is not null"), "_v")
+    n = values.count()
+    if n == 0:
+        return None
+    place = q * (n - 1)
+    low = int(place)
+    picked = {r["idx"]: r["_v"] for r in values.where(F.col("idx").isin(low, min(low + 1, n - 1))).collect()}
+    first, second = picked[low], picked[min(low + 1, n - 1)]
+    return first + (second - first) * (place - low)

@@ -27,16 +27,23 @@ def extract_brand(names: DataFrame, brands: DataFrame | None = None, text: str =
     A name that is itself a key of the brand table becomes the brand, and what
     the brand stands for becomes the text; otherwise the patterns decide.
     """
-    found = names.withColumn("_pattern", T.brand_from_patterns(F.col(text)))
-    generic = F.lit(None).cast("string")
-    if brands is not None:
-        keyed = brands.groupBy(F.lower("brand").alias("_key")).agg(F.first("generic").alias("_generic"))
-        found = found.join(keyed, F.col(text) == F.col("_key"), "left")
-        generic = F.col("_generic")
+    candidates = [f"_brand{i}" for i in range(len(T.BRAND_PATTERNS))]
+    found = names.select("*", *(c.alias(n) for c, n in zip(T.brand_candidates(F.col(text)), candidates)))
+    # The first usable capture also says which pattern is cut out of the text.
+    usable = [T.is_brand(F.col(c)) for c in candidates]
+    brand = F.coalesce(*(F.when(ok, F.col(c)) for ok, c in zip(usable, candidates)))
+    cleaned = F.coalesce(
+        *(F.when(ok, T.without_brand(F.col(text), p)) for ok, p in zip(usable, T.BRAND_PATTERNS)), F.col(text)
+    )
+    if brands is None:
+        return found.withColumn("brand", brand).withColumn("cleaned", cleaned).drop(*candidates)
+    keyed = brands.groupBy(F.lower("brand").alias("_key")).agg(F.first("generic").alias("_generic"))
+    keyed_in = F.col("_generic").isNotNull()
     return (
-        found.withColumn("brand", F.when(generic.isNotNull(), F.col(text)).otherwise(F.col("_pattern.brand")))
-        .withColumn("cleaned", F.coalesce(generic, F.col("_pattern.cleaned")))
-        .drop("_pattern", "_key", "_generic")
+        found.join(keyed, F.col(text) == F.col("_key"), "left")
+        .withColumn("brand", F.when(keyed_in, F.col(text)).otherwise(brand))
+        .withColumn("cleaned", F.when(keyed_in, F.col("_generic")).otherwise(cleaned))
+        .drop("_key", "_generic", *candidates)
     )
 
 
