@@ -229,9 +229,9 @@ _LEARN = {
     "near": "SELECT id1, id2, round(d, 9) AS d FROM manhattan",
     "plan": """SELECT id1 AS r1, id2 AS r2, x.ingredient_id AS i, y.ingredient_id AS j, round(x.w * y.w, 9) AS flow
         FROM near JOIN bags x ON x.recipe_id = id1 JOIN bags y ON y.recipe_id = id2""",
-    "both": "SELECT id1, id2, d FROM near UNION ALL SELECT id2, id1, d FROM near",
+    "two_way": "SELECT id1, id2, d FROM near UNION ALL SELECT id2, id1, d FROM near",
     "lists": """SELECT id1 AS r1, id2 AS r2, exp(-6.0 * (d - min(d) OVER (PARTITION BY id1))) AS e FROM (
-        SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS r FROM both) WHERE r <= 3""",
+        SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS r FROM two_way) WHERE r <= 3""",
     "weights": "SELECT r1, r2, e / (sum(e) OVER (PARTITION BY r1) + 1e-12) AS weight FROM lists",
     "ways": "SELECT r1, r2, i, j, flow FROM plan UNION ALL SELECT r2, r1, j, i, flow FROM plan",
     "topped": """SELECT * FROM (SELECT w.*, weight, row_number() OVER (PARTITION BY r1, r2, i ORDER BY flow DESC, j) AS r

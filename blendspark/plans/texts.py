@@ -59,7 +59,7 @@ LINES = """
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 _ALIASES = ", ".join(f"('{a}', '{u}')" for u, names in UNIT_ALIASES.items() for a in names)
-_NOTES = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '^\([^)]*\)\s*', ''), '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g'))"
+_NOTES = r"trim(trim(regexp_replace(regexp_replace(regexp_replace({0}, '^\([^)]*\)\s*', ''), '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g')), ',')"
 PARSED = {
     "line_texts": LINES,
     "heads": r"""SELECT *, regexp_replace(regexp_replace(lower(text), '^\([^)]*\)\s*', ''),

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL: python tools_check.py [sf] [name ...]"""
+"""Compare registered queries with their SQL: python -m tests.compare [sf] [name ...]"""
 import math, sys, time
 import duckdb
 from blendspark.plans import ORACLES, QUERIES
