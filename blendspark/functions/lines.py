@@ -33,11 +33,16 @@ def _head(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^({QUALIFIERS})\b\s+", "")
 
 
-def split_amount(text: Column) -> Column:
-    """STRUCT<amount, rest> of a line that starts with its amount."""
+def plain_fractions(text: Column) -> Column:
+    """Fraction signs as decimals, words one space apart."""
     for sign, decimal in FRACTION_SIGNS.items():
         text = F.replace(text, F.lit(sign), F.lit(decimal))
-    text = squeeze(text)
+    return squeeze(text)
+
+
+def split_amount(text: Column) -> Column:
+    """STRUCT<amount, rest> of a line that starts with its amount.  The column is
+    looked at many times: pass a computed one, after ``plain_fractions``."""
     part = _number(text, MIXED_DECIMAL, 2)
     # The first pattern that fits decides; a zero denominator yields no amount.
     choices = [
@@ -64,8 +69,8 @@ def split_amount(text: Column) -> Column:
 
 
 def split_unit(text: Column) -> Column:
-    """STRUCT<unit, rest>: the first word when it is a unit."""
-    text = squeeze(text)
+    """STRUCT<unit, rest>: the first word when it is a unit.  Words are one space
+    apart, as ``split_amount`` leaves them."""
     unit = unit_alias(F.regexp_extract(text, r"^(\S+)", 1))
     rest = F.trim(F.regexp_replace(text, r"^\S+", ""))
     return F.struct(
@@ -77,7 +82,8 @@ def with_parsed_line(lines, text: str = "text", keep_parentheses: bool = False):
     """Add ``amount``, ``unit`` and ``ingredient`` to a table of lines."""
     original = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
     staged = lines.withColumn("_line", original).withColumn("_head", _head(F.col("_line")))
-    staged = staged.withColumn("_amount", split_amount(F.col("_head")))
+    staged = staged.withColumn("_plain", plain_fractions(F.col("_head")))
+    staged = staged.withColumn("_amount", split_amount(F.col("_plain")))
     staged = staged.withColumn("_unit", split_unit(F.col("_amount.rest")))
     open_unit = F.coalesce(
         *(F.when(F.col("_head").contains(phrase), F.lit(phrase)) for phrase in OPEN_AMOUNTS)
@@ -96,5 +102,5 @@ def with_parsed_line(lines, text: str = "text", keep_parentheses: bool = False):
         staged.withColumn("amount", F.when(F.col("_open").isNull(), F.col("_amount.amount")))
         .withColumn("unit", F.coalesce(F.col("_open"), F.col("_unit.unit")))
         .withColumn("ingredient", name)
-        .drop("_line", "_head", "_amount", "_unit", "_open")
+        .drop("_line", "_head", "_plain", "_amount", "_unit", "_open")
     )

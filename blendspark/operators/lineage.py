@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that loops keep short plans and a lost
-    executor costs a re-read, not a re-run."""
-    context = df.sparkSession.sparkContext
+def shared_folder(context) -> str:
+    """The checkpoint folder of the session.  A cluster names it in
+    spark.checkpoint.dir; only a local session gets one of its own."""
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="blendspark-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="blendspark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so that loops keep short plans and a lost
+    executor costs a re-read, not a re-run."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
