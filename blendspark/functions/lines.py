@@ -5,102 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blendspark.functions.text import clean_name, squeeze
+from blendspark.functions.text import clean_name, squeeze, strip
 from blendspark.functions.units import unit_alias
 
 # Written-out fractions and the words in front of an amount that
 # say nothing about it.
 FRACTION_SIGNS = {"¼": ".25", "½": ".5", "¾": ".75", "⅓": ".333", "⅔": ".667"}
-QUALIFIERS = "generous|small|heaping|short|shy|heavy|scant|about"
+QUALIFIERS = ("generous", "small", "heaping", "short", "shy", "heavy", "scant", "about")
 OPEN_AMOUNTS = ("to top", "as needed")
 
-NUMBER = r"(\d+\.?\d*|\.\d+)"
-END = r"(?: |$)"
-RANGE = rf"^{NUMBER}(?: to |-){NUMBER}{END}"
-MIXED_FRACTION = rf"^(\d+) (\d+)/(\d+){END}"
-MIXED_DECIMAL = rf"^(\d+) {NUMBER}{END}"
-FRACTION = rf"^(\d+)/(\d+){END}"
-PLAIN = rf"^{NUMBER}{END}"
+NUMBER = r"(?:\d+\.?\d*|\.\d+)"
+BELOW_ONE = r"0*\.\d*[1-9]\d*"
+# In this order: a range, a whole number with a fraction or a decimal part, a
+# fraction, a plain number.
+AMOUNT = rf"^(?:{NUMBER}(?: to |-){NUMBER}|\d+ \d+/\d+|\d+ {BELOW_ONE}|\d+/\d+|{NUMBER})(?: |$)"
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
+def without_first_note(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"(?U)^\([^)]*\)\s*", "")
+    return F.when(text.startswith("("), bare).otherwise(text)
 
 
-def _head(text: Column) -> Column:
-    """Lower-case line without a leading note and without one qualifier word."""
-    text = F.regexp_replace(F.lower(text), r"(?U)^\([^)]*\)\s*", "")
-    return F.regexp_replace(text, rf"(?U)^({QUALIFIERS})\b\s+", "")
+def without_qualifier(text: Column) -> Column:
+    """Without one qualifier word in front of something else."""
+    word = F.substring_index(text, " ", 1)
+    behind = F.substring(text, F.length(word) + 2, F.length(text))
+    return F.when(word.isin(*QUALIFIERS) & (behind != ""), behind).otherwise(text)
 
 
 def plain_fractions(text: Column) -> Column:
-    """Fraction signs as decimals, words one space apart."""
+    """Fraction signs as decimals."""
+    plain = text
     for sign, decimal in FRACTION_SIGNS.items():
-        text = F.replace(text, F.lit(sign), F.lit(decimal))
-    return squeeze(text)
-
-
-def split_amount(text: Column) -> Column:
-    """STRUCT<amount, rest> of a line that starts with its amount.  The column is
-    looked at many times: pass a computed one, after ``plain_fractions``."""
-    part = _number(text, MIXED_DECIMAL, 2)
-    # The first pattern that fits decides; a zero denominator yields no amount.
-    choices = [
-        (RANGE, (_number(text, RANGE, 1) + _number(text, RANGE, 2)) / 2, F.lit(True)),
-        (
-            MIXED_FRACTION,
-            _number(text, MIXED_FRACTION, 1)
-            + F.try_divide(_number(text, MIXED_FRACTION, 2), _number(text, MIXED_FRACTION, 3)),
-            F.lit(True),
-        ),
-        (MIXED_DECIMAL, _number(text, MIXED_DECIMAL, 1) + part, (part > 0) & (part < 1)),
-        (FRACTION, F.try_divide(_number(text, FRACTION, 1), _number(text, FRACTION, 2)), F.lit(True)),
-        (PLAIN, _number(text, PLAIN, 1), F.lit(True)),
-    ]
-    nothing = F.struct(F.lit(None).cast("double").alias("amount"), text.alias("rest"))
-    out = nothing
-    for pattern, amount, holds in reversed(choices):
-        rest = F.trim(F.regexp_replace(text, pattern, ""))
-        out = F.when(
-            F.rlike(text, F.lit(pattern)) & holds,
-            F.when(amount.isNotNull(), F.struct(amount.alias("amount"), rest.alias("rest"))).otherwise(nothing),
-        ).otherwise(out)
-    return out
-
-
-def split_unit(text: Column) -> Column:
-    """STRUCT<unit, rest>: the first word when it is a unit.  Words are one space
-    apart, as ``split_amount`` leaves them."""
-    unit = unit_alias(F.regexp_extract(text, r"^(\S+)", 1))
-    rest = F.trim(F.regexp_replace(text, r"^\S+", ""))
-    return F.struct(
-        unit.alias("unit"), F.when(unit.isNotNull(), rest).otherwise(text).alias("rest")
+        plain = F.replace(plain, F.lit(sign), F.lit(decimal))
+    return F.when(F.length(text) != F.octet_length(text), plain).otherwise(text)
+
+
+def leading_amount(text: Column) -> Column:
+    """The amount as written, with the space after it; empty where there is none."""
+    return F.regexp_extract(text, AMOUNT, 0)
+
+
+def amount_value(written: Column) -> Column:
+    """Value of a written amount: the middle of a range, NULL for a zero denominator."""
+    parts = F.split(F.trim(written), " to |[ /-]")
+    first, second, third = (F.get(parts, F.lit(k)).try_cast("double") for k in range(3))
+    return (
+        F.when(written.contains(" to ") | written.contains("-"), (first + second) / 2)
+        .when(third.isNotNull(), first + F.try_divide(second, third))
+        .when(written.contains("/"), F.try_divide(first, second))
+        .otherwise(first + F.coalesce(second, F.lit(0.0)))
     )
 
 
 def with_parsed_line(lines, text: str = "text", keep_parentheses: bool = False):
     """Add ``amount``, ``unit`` and ``ingredient`` to a table of lines."""
-    original = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
-    staged = lines.withColumn("_line", original).withColumn("_head", _head(F.col("_line")))
-    staged = staged.withColumn("_plain", plain_fractions(F.col("_head")))
-    staged = staged.withColumn("_amount", split_amount(F.col("_plain")))
-    staged = staged.withColumn("_unit", split_unit(F.col("_amount.rest")))
+    staged = lines.withColumn("_line", strip(F.col(text)))
+    staged = staged.withColumn("_head", without_first_note(F.lower("_line")))
+    staged = staged.withColumn("_flat", squeeze(F.col("_head")))
+    staged = staged.withColumn("_plain", plain_fractions(without_qualifier(F.col("_flat"))))
+    written = F.col("_written")
+    staged = staged.withColumn("_written", leading_amount(F.col("_plain")))
+    staged = staged.withColumn("_amount", amount_value(written))
+    after = F.substring(F.col("_plain"), F.length(written) + 1, F.length("_plain"))
+    staged = staged.withColumn("_rest", F.when(F.col("_amount").isNull(), F.col("_plain")).otherwise(after))
+    word = F.substring_index("_rest", " ", 1)
+    staged = staged.withColumn("_unit", unit_alias(word))
+    behind = F.substring(F.col("_rest"), F.length(word) + 2, F.length("_rest"))
+    staged = staged.withColumn("_name", F.when(F.col("_unit").isNull(), F.col("_rest")).otherwise(behind))
     open_unit = F.coalesce(
         *(F.when(F.col("_head").contains(phrase), F.lit(phrase)) for phrase in OPEN_AMOUNTS)
     )
     staged = staged.withColumn("_open", open_unit)
     before = F.regexp_replace(F.col("_line"), r"(?is),? to top.*$", "")
     before_needed = F.regexp_replace(F.col("_line"), r"(?is),? as needed.*$", "")
-    name = F.when(
-        F.col("_open") == "to top", clean_name(before, keep_parentheses)
-    ).when(F.col("_open") == "as needed", clean_name(before_needed, keep_parentheses)).otherwise(
-        F.coalesce(
-            F.nullif(clean_name(F.col("_unit.rest"), keep_parentheses), F.lit("")), F.col("_line")
-        )
+    staged = staged.withColumn(
+        "_name",
+        F.when(F.col("_open") == "to top", before).when(F.col("_open") == "as needed", before_needed).otherwise(F.col("_name")),
     )
+    staged = staged.withColumn("_clean", clean_name(F.col("_name"), keep_parentheses))
+    # A line that leaves no name is kept as it was written.
+    name = F.when((F.col("_clean") == "") & F.col("_open").isNull(), F.col("_line")).otherwise(F.col("_clean"))
     return (
-        staged.withColumn("amount", F.when(F.col("_open").isNull(), F.col("_amount.amount")))
-        .withColumn("unit", F.coalesce(F.col("_open"), F.col("_unit.unit")))
+        staged.withColumn("amount", F.when(F.col("_open").isNull(), F.col("_amount")))
+        .withColumn("unit", F.coalesce(F.col("_open"), F.col("_unit")))
         .withColumn("ingredient", name)
-        .drop("_line", "_head", "_plain", "_amount", "_unit", "_open")
+        .drop("_line", "_head", "_plain", "_written", "_amount", "_rest", "_unit", "_name", "_open", "_flat", "_clean")
     )

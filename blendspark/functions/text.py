@@ -28,29 +28,47 @@ LEADING_QUANTITY = r"^\d+[\s\d/]*\s*(ounces?|oz|cups?|tsp|tbsp|ml|cl|dashes?|dro
 LEADING_PRAISE = r"^(fresh|freshly|good|quality|premium|good\s+quality)\s+"
 
 
+# White space other than the plain blank.
+ODD_SPACE = "\t\n\u000B\f\r\u001C-\u001F\u0085   -     　"
+
+
 def squeeze(text: Column) -> Column:
-    """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """One blank between words, none at the ends.  Most texts are tidy already, so
+    they are looked at before they are rewritten."""
+    untidy = F.rlike(text, F.lit(f"[{ODD_SPACE}]|  "))
+    return F.trim(F.when(untidy, F.regexp_replace(text, f"[ {ODD_SPACE}]+", " ")).otherwise(text))
+
+
+def strip(text: Column) -> Column:
+    """No white space at the ends."""
+    edges = F.rlike(text, F.lit(f"^[ {ODD_SPACE}]|[ {ODD_SPACE}]$"))
+    return F.when(edges, F.regexp_replace(text, f"^[ {ODD_SPACE}]+|[ {ODD_SPACE}]+$", "")).otherwise(text)
+
+
+def drop_notes(text: Column) -> Column:
+    """Without anything in parentheses."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)^\([^)]*\)\s*", ""), r"(?U)\s*\([^)]*\)", "")
+    return F.when(text.contains("("), bare).otherwise(text)
 
 
 def ascii_quotes(text: Column) -> Column:
-    return F.translate(text, "’‘“”", "''\"\"")
+    plain = F.translate(text, "’‘“”", "''\"\"")
+    return F.when(F.length(text) != F.octet_length(text), plain).otherwise(text)
 
 
 def clean_name(name: Column, keep_parentheses: bool = False) -> Column:
     """Drop notes in parentheses, squeeze, drop outer commas."""
     if not keep_parentheses:
-        name = F.regexp_replace(name, r"(?U)^\([^)]*\)\s*", "")
-        name = F.regexp_replace(name, r"(?U)\s*\([^)]*\)", "")
+        name = drop_notes(name)
     return F.btrim(squeeze(name), F.lit(","))
 
 
 def normalize_text(text: Column) -> Column:
     """Name used for vocabulary look-ups: no quantity, no praise, lower case."""
-    text = ascii_quotes(F.regexp_replace(text, r"(?U)^\s+", ""))
-    text = F.regexp_replace(text, "(?iU)" + LEADING_QUANTITY, "")
-    text = F.regexp_replace(text, "(?iU)" + LEADING_PRAISE, "")
-    return squeeze(F.lower(text))
+    text = ascii_quotes(squeeze(text))
+    text = F.regexp_replace(text, "(?i)" + LEADING_QUANTITY, "")
+    text = F.regexp_replace(text, "(?i)" + LEADING_PRAISE, "")
+    return F.trim(F.lower(text))
 
 
 def normalize_for_match(text: Column) -> Column:
