@@ -120,7 +120,7 @@ def without_brand(text: Column, pattern: str) -> Column:
 
 def source_url(name: Column, prefix: str, suffix: str = "", ampersand: bool = False) -> Column:
     """Page address guessed from a recipe name."""
-    text = F.translate(ascii_quotes(F.lower(name)), " ", " ")
+    text = F.replace(ascii_quotes(F.lower(name)), F.lit(" "), F.lit(" "))
     allowed = r"[^\p{L}\p{N} \-&]" if ampersand else r"[^\p{L}\p{N} \-]"
     text = F.regexp_replace(text, allowed, "")
     text = F.replace(F.replace(text, F.lit(" "), F.lit("-")), F.lit("&"), F.lit("and"))
