@@ -29,7 +29,7 @@ LEADING_PRAISE = r"^(fresh|freshly|good|quality|premium|good\s+quality)\s+"
 
 
 # White space other than the plain blank.
-ODD_SPACE = "\t\n\u000B\f\r\u001C-\u001F\u0085   -     　"
+ODD_SPACE = "\t\n\u000B\f\r\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def squeeze(text: Column) -> Column:
@@ -120,7 +120,7 @@ def without_brand(text: Column, pattern: str) -> Column:
 
 def source_url(name: Column, prefix: str, suffix: str = "", ampersand: bool = False) -> Column:
     """Page address guessed from a recipe name."""
-    text = F.replace(ascii_quotes(F.lower(name)), F.lit(" "), F.lit(" "))
+    text = F.replace(ascii_quotes(F.lower(name)), F.lit("\u00A0"), F.lit(" "))
     allowed = r"[^\p{L}\p{N} \-&]" if ampersand else r"[^\p{L}\p{N} \-]"
     text = F.regexp_replace(text, allowed, "")
     text = F.replace(F.replace(text, F.lit(" "), F.lit("-")), F.lit("&"), F.lit("and"))

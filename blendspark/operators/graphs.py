@@ -101,14 +101,16 @@ def random_walks(
 ) -> DataFrame:
     """(walk, nodes): second-order walks from every node.
 
-    A step draws a neighbour evenly and keeps it with odds 1/p when it goes back,
-    1 when it is next to the previous node, 1/q otherwise; walks that lost the draw
-    try again.  So a step never lists the neighbours of a node.
+    A step weighs its neighbours: 1/p for the way back, 1 when next to the previous
+    node, 1/q otherwise.  It first decides by weight whether to go back; if not, it
+    draws neighbours evenly and keeps the first that passes a coin of its weight.
+    Walks without one draw again, more at a time.  So a step never lists the
+    neighbours of a node, however many there are.
     """
     by_number, nodes = _adjacency(edges)
     linked = edges.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("_linked")).distinct()
-    top = max(1 / p, 1.0, 1 / q)
-    plain = p == 1 and q == 1
+    top = max(1.0, 1 / q)
+    one_neighbour = p == 1 and q == 1
     start = nodes.where(F.col("src").startswith(start_prefix)).select(
         F.explode(F.sequence(F.lit(1), F.lit(walks_per_node))).alias("_n"), F.col("src").alias("cur")
     )
@@ -119,26 +121,28 @@ def random_walks(
         moved = []
         open_walks, attempt = at, 0
         while True:
-            u = hash_unit(f"{seed}.{step}.{attempt}", F.col("walk"))
-            drawn = (
-                open_walks.join(nodes.withColumnRenamed("src", "cur"), "cur")
-                .withColumn("edge", F.col("first") + F.floor(u * F.col("degree")).cast("long"))
-                .join(by_number, "edge")
-                .select("walk", "prev", "cur", "next")
-            )
-            if plain:
+            mark = f"{seed}.{step}.{attempt}"
+            placed = open_walks.join(nodes.withColumnRenamed("src", "cur"), "cur")
+            draws = 1 if one_neighbour or step == 1 else 8 * 4**attempt
+            placed = placed.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+            u = hash_unit(mark, F.col("walk"), F.col("_t"))
+            drawn = placed.withColumn("edge", F.col("first") + F.floor(u * F.col("degree")).cast("long")).join(by_number, "edge")
+            if draws == 1:
                 moved.append(drawn.select("walk", F.col("cur").alias("prev"), F.col("next").alias("cur")))
                 break
-            odds = (
-                F.when(F.col("prev").isNull(), F.lit(top))
-                .when(F.col("next") == F.col("prev"), F.lit(1 / p))
-                .when(F.col("_linked"), F.lit(1.0))
-                .otherwise(F.lit(1 / q))
-            ) / top
-            coin = hash_unit(f"{seed}.{step}.{attempt}.coin", F.col("walk"))
-            drawn = cut(drawn.join(linked, ["prev", "next"], "left").withColumn("_ok", coin < odds))
-            moved.append(drawn.where("_ok").select("walk", F.col("cur").alias("prev"), F.col("next").alias("cur")))
-            open_walks = drawn.where("not _ok").select("walk", "prev", "cur")
+            weight = F.when(F.col("_linked"), F.lit(1.0)).otherwise(F.lit(1 / q)) / top
+            back = hash_unit(f"{mark}.back", F.col("walk"), F.col("_t")) < F.lit(1 / p) / (
+                F.lit(1 / p) + (F.col("degree") - 1) * top
+            )
+            kept = (F.col("next") != F.col("prev")) & (hash_unit(f"{mark}.coin", F.col("walk"), F.col("_t")) < weight)
+            chosen = F.when(back, F.struct("_t", F.col("prev").alias("next"))).when(kept, F.struct("_t", "next"))
+            drawn = cut(
+                drawn.join(linked, ["prev", "next"], "left")
+                .groupBy("walk", "prev", "cur")
+                .agg(F.min(chosen).alias("_step"))
+            )
+            moved.append(drawn.where("_step is not null").select("walk", F.col("cur").alias("prev"), F.col("_step.next").alias("cur")))
+            open_walks = drawn.where("_step is null").select("walk", "prev", "cur")
             attempt += 1
             if open_walks.isEmpty():
                 break
