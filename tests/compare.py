@@ -48,8 +48,9 @@ def main():
             print(f"{'ok  ' if ok else 'DIFF'} {name}: {len(rows)}/{len(orows)} spark {t1-t0:.1f}s sql {t2-t1:.1f}s {'' if ok and len(a) else tn}", flush=True)
             if not ok:
                 bad.append(name)
-                print("   only spark", [x for x in a if x not in set(b)][:3])
-                print("   only sql  ", [x for x in b if x not in set(a)][:3])
+                in_a, in_b = set(a), set(b)
+                print("   only spark", [x for x in a if x not in in_b][:3])
+                print("   only sql  ", [x for x in b if x not in in_a][:3])
         except Exception as e:
             bad.append(name)
             print("FAIL", name, str(e)[:1500], flush=True)
