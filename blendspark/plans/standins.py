@@ -147,7 +147,7 @@ def recipe_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r6(expr: str) -> str:
-    return f"CASE WHEN abs({expr}) < 5e-7 THEN 0.0 ELSE round(round({expr}, 10), 6) END"
+    return f"CASE WHEN abs({expr}) < 5e-7 THEN 0.0 ELSE CAST(round(CAST({expr} AS DECIMAL(28, 10)), 6) AS DOUBLE) END"
 
 
 _TYPE_CASE = "CASE p_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPES, 1)) + " END"
