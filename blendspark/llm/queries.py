@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import exact
+from blendspark.llm import exact, sketch
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,3 +19,14 @@ def op10_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = exact.duplicate_groups(docs, carry={"text_sha256": F.sha2(text_of(docs), 256)})
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op4_scaled_sketch")
+def op4_scaled_sketch(spark, sf_dir):
+    found = sketch.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
