@@ -49,14 +49,16 @@ def duplicate_groups(docs: DataFrame, carry: dict[str, Column] | None = None) ->
         .withColumn("full", F.when(F.col("_shared"), F.sha2("text", 256)))
         .drop("text", "bucket", "_shared", "prefix", "bytes")
     )
-    groups = (
+    groups = cut(  # written, so that AQE may split a crowd's key in the join below
         hashed.where("full is not null")
         .groupBy("full")
         .agg(F.count("*").alias("_size"), F.max(F.struct("doc_id", "row_id")).alias("_keep"))
         .where("_size > 1")
     )
     size = F.coalesce("_size", F.lit(1).cast("long"))
-    return hashed.join(groups, "full", "left").select(
+    # Rows that need no full hash meet nothing; their own number spreads them.
+    keyed = hashed.withColumn("full", F.coalesce("full", F.col("row_id").cast("string")))
+    return keyed.join(groups, "full", "left").select(
         "row_id", "doc_id", *(carry or {}),
         F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep.doc_id")).alias("keep_id"),
         F.coalesce("_keep.row_id", "row_id").alias("keep_row"),

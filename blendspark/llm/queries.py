@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import exact, sketch
+from blendspark.llm import exact, secrets, sketch
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -30,3 +30,43 @@ def op4_scaled_sketch(spark, sf_dir):
         sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+def _matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """The kept matches of a rule as rows (doc_id, start, rank, kind, n), in SQL: the
+    gaps that a split by the pattern leaves, summed up with the matches before."""
+    p = pattern.replace("'", "''")
+    return f"""
+    select doc_id, start, {rank} as rank, '{kind}' as kind, n from (
+        select doc_id, part, n, sum(gap + n) over (partition by doc_id order by i) - n as start from (
+            select doc_id, unnest(range(len(w))) as i, unnest(list_transform(w, lambda x: length(x))) as n,
+                   unnest(list_transform(g, lambda x: length(x))) as part,
+                   unnest(list_transform(s[:len(w)], lambda x: length(x))) as gap
+            from (select doc_id, regexp_extract_all(text, '{p}') as w, regexp_extract_all(text, '{p}', {group}) as g,
+                         string_split_regex(text, '{p}') as s from t)))
+    where part >= {least}"""
+
+
+def _secrets_sql() -> str:
+    plain = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}  # whole runs, filtered by their length afterwards
+    rules = [_matches(i, k, plain.get(k, p), g, n) for i, (k, p, g, n) in enumerate(secrets.RULES)]
+    joined = "string_agg(kind || ':' || start::bigint || ':' || (start + n)::bigint, ',' order by start, rank)"
+    return f"""
+    with t as (select doc_id, coalesce(text, '') as text from documents),
+    m as ({" union all ".join(rules)}),
+    s as (select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access,
+                 count(*) filter (rank = 2) as n_hex, {joined} filter (rank < 3) as base, {joined} as spans from m group by doc_id)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+           sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from t left join s using (doc_id)"""
+
+
+@query("op6_trigram_secrets", _secrets_sql())
+def op6_trigram_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"].isin([r[0] for r in secrets.BASE_RULES]))
+    return found.withColumn("base", base).select(
+        "doc_id", *[secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k, *_ in secrets.BASE_RULES],
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("secrets")).alias("spans"),
+    )
