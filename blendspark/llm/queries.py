@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import exact, secrets, sketch
+from blendspark.llm import chat, exact, secrets, sketch
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -70,3 +70,27 @@ def op6_trigram_secrets(spark, sf_dir):
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(F.col("secrets")).alias("spans"),
     )
+
+
+_SPANS = """
+    coalesce((select string_agg((e - n)::bigint || ':' || e::bigint, ',' order by i) from (
+        select i, role, length(text) + 8 as n, sum(length(role) + length(text) + 13) over (order by i) as e
+        from (select unnest({0}).role as role, unnest({0}).text as text, unnest(range(len({0}))) as i)) where role = 'assistant'), '')"""
+_WRITTEN = "coalesce(array_to_string(list_transform({0}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
+
+
+@query("op1_preference_format", f"""
+    with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    w as (select conv_id, list({{'role': role, 'text': text}} order by turn nulls first, role, text) as turns from t group by conv_id),
+    a as (select conv_id, turns, coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')), len(turns)) as at,
+                 coalesce(lead(conv_id) over (order by conv_id), min(conv_id) over ()) as next_id from w),
+    p as (select a.conv_id as pair_id, a.turns as c, a.turns[:a.at - 1] || b.turns[b.at:] as r from a join a b on a.next_id = b.conv_id),
+    s as (select *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] is distinct from r[i])) - 1, len(c)) as shared from p),
+    d as (select pair_id, shared, c[:shared] as p, c[shared + 1:] as c, r[shared + 1:] as r from s)
+    select pair_id, shared::int as shared, {_WRITTEN.format('p')} as prompt, {_WRITTEN.format('c')} as chosen, {_WRITTEN.format('r')} as rejected,
+           {_SPANS.format('c')} as chosen_mask, {_SPANS.format('r')} as rejected_mask from d
+""")
+def op1_preference_format(spark, sf_dir):
+    rows = chat.preference_rows(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    spans = {m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), ",") for m in ("chosen_mask", "rejected_mask")}
+    return rows.withColumns(spans)
