@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, secrets, sketch
+from blendspark.llm import chat, exact, mixing, secrets, sketch
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -94,3 +94,27 @@ def op1_preference_format(spark, sf_dir):
     rows = chat.preference_rows(chat.swapped_replies(table(spark, sf_dir, "conversations")))
     spans = {m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), ",") for m in ("chosen_mask", "rejected_mask")}
     return rows.withColumns(spans)
+
+
+@query("op3_source_mix", r"""
+    with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+    s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, encode(source)) - 1 as no from d group by source),
+    w as (select *, no % 3 + 1 as weight, 3 * source_size / (no % 3 + 1) as stop from s),
+    b as (select *, coalesce(sum(weight) over o, 0) as wb, coalesce(sum(source_size) over o, 0) as sb from w
+          window o as (order by stop, no rows between unbounded preceding and 1 preceding)),
+    l as (select *, (sum(source_size) over () - 3 * sb)::bigint / (sum(weight) over () - wb)::bigint as level from b),
+    g as (select source, no, source_size, coalesce(least((select arg_min(level, (stop, no)) from l where level <= stop) * weight, (3 * source_size)::double), 0.0) as target from w),
+    q as (select doc_id, max(quality) as q from labels where doc_id is not null group by doc_id),
+    k as (select d.doc_id, size, no, source_size, target,
+                 -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+                 / (case when q is null then 0.5 when q > 0 then 1.0 else 0.25 end) as key
+          from d join g on d.source is not distinct from g.source left join q on d.doc_id = q.doc_id),
+    p as (select *, coalesce(sum(size) over (partition by no order by key, doc_id rows between unbounded preceding and 1 preceding), 0) as before,
+                 case when source_size > 0 then floor(target / source_size) else 1 end as epochs from k)
+    select doc_id, size, source_size, target,
+           cast(size * (epochs + case when size > 0 and before + size / 2 <= target - epochs * source_size then 1 else 0 end) as bigint) as taken
+    from p
+""")
+def op3_source_mix(spark, sf_dir):
+    found = mixing.plan(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
