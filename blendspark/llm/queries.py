@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, secrets, sketch
+from blendspark.llm import chat, exact, mixing, packing, secrets, sketch
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -118,3 +118,8 @@ def op1_preference_format(spark, sf_dir):
 def op3_source_mix(spark, sf_dir):
     found = mixing.plan(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+@query("op2_hilbert_packing")
+def op2_hilbert_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
