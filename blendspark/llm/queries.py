@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, packing, secrets, sketch
+from blendspark.llm import chat, exact, mixing, packing, secrets, sketch, toxicity
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -123,3 +123,10 @@ def op3_source_mix(spark, sf_dir):
 @query("op2_hilbert_packing")
 def op2_hilbert_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.with_fold(scored, 0.5)
