@@ -24,3 +24,11 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
     several labels the larger; rows without id or label are left out)."""
     rows = labels.select("doc_id", F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null")
     return rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
+
+
+def with_fold(scored: DataFrame, threshold: float) -> DataFrame:
+    """scored (doc_id, score, more) with held_out and the decision at a threshold."""
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in scored.columns if c not in ("doc_id", "score")],
+    )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, packing, secrets, sketch, toxicity
+from blendspark.llm import chat, exact, mixing, packing, quality, secrets, sketch, toxicity
 from blendspark.llm.frames import table, text_of
+from blendspark.llm.labels import with_fold
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -129,4 +130,10 @@ def op2_hilbert_packing(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return toxicity.with_fold(scored, 0.5)
+    return with_fold(scored, 0.5)
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return with_fold(scored, 0.3)

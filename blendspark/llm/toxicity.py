@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from blendspark.llm import words
 from blendspark.llm.frames import text_of
-from blendspark.llm.labels import held_out, training_labels
+from blendspark.llm.labels import training_labels
+from blendspark.llm.packing import curve_keys
 
 #: Labelled examples of each class in the index, and the longest text among them: the
 #: bound of what is collected and broadcast, whatever the input.
@@ -22,7 +23,9 @@ PREFIXES = (4, 5)
 #: A term is used if so many examples hold it, and at most this share of all documents.
 LEAST_EXAMPLES, MOST_DOCS = 3, 0.06
 NEIGHBOURS = 80
-BLOCK = 64
+#: Rows of a block.  Examples lie in order of the packing curve, so that those of one
+#: language or topic share blocks and the bounds tell blocks apart.
+BLOCK = 256
 #: Votes that stand for the share of toxic labels where there are no near examples.
 FAINT = 1e-3
 
@@ -199,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
     found = (
         docs.select("doc_id", text_of(docs).alias("text")).where(F.octet_length("text") <= LONGEST)
         .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).toArrow()
-    ).sort_by([("y", "descending"), ("doc_id", "ascending")])
+    ).sort_by("doc_id")
+    found = found.take(pa.array(np.argsort(curve_keys(found.column("text")).to_numpy(), kind="stable")))
     ids = found.column("doc_id").to_numpy()
     y = found.column("y").to_numpy().astype(np.int64)
     texts = found.column("text")
@@ -273,10 +277,3 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(
         run, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
     )
-
-
-def with_fold(scored: DataFrame, threshold: float) -> DataFrame:
-    return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in scored.columns if c not in ("doc_id", "score")],
-    )
