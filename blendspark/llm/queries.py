@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, packing, quality, secrets, sketch, toxicity
+from blendspark.llm import chat, exact, mixing, overlap, packing, quality, secrets, sketch, toxicity
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.labels import with_fold
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -137,3 +137,8 @@ def op9_toxicity(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return with_fold(scored, 0.3)
+
+
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark, sf_dir):
+    return overlap.overlap_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
