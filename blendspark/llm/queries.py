@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, overlap, packing, quality, secrets, sketch, toxicity
+from blendspark.llm import chat, exact, mixing, overlap, packing, paragraphs, quality, secrets, sketch, toxicity
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.labels import with_fold
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -142,3 +142,8 @@ def op8_quality(spark, sf_dir):
 @query("op7_ngram_jaccard")
 def op7_ngram_jaccard(spark, sf_dir):
     return overlap.overlap_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_paragraph_minhash")
+def op5_paragraph_minhash(spark, sf_dir):
+    return paragraphs.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
