@@ -21,6 +21,8 @@ LENGTH = 2048
 END_ID = 1
 #: Size of the hashed vectors, dimensions they are projected to, bits of each.
 HASHED, DIMENSIONS, BITS = 1024, 4, 8
+#: Ranges are dealt to partitions by a hash; a few for each make these alike in size.
+RANGES_PER_PARTITION = 4
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -118,13 +120,14 @@ def along_the_curve(docs: DataFrame) -> DataFrame:
     ``SAMPLES_PER_RANGE`` for each range), so that no text is projected twice just to
     find them; texts are shuffled once."""
     rows = docs.select("doc_id", text_of(docs).alias("text"), F.monotonically_increasing_id().alias("row"))
-    ranges, count = ranges_for(docs), docs.count()
+    partitions, count = ranges_for(docs), docs.count()
+    ranges = RANGES_PER_PARTITION * partitions
     step = max(1, count // (ranges * SAMPLES_PER_RANGE))
     sampled = with_keys(rows.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0)).select("key").toArrow()
     keys = np.sort(sampled.column("key").to_numpy())
     bounds = sorted({int(keys[len(keys) * i // ranges]) for i in range(1, ranges)}) if len(keys) else []
     ranged = with_keys(rows).withColumn("range", range_of(F.col("key"), bounds))
-    return ranged.repartition(ranges, "range").sortWithinPartitions("range", "key").select("doc_id", "text")
+    return ranged.repartition(partitions, "range").sortWithinPartitions("range", "key").select("doc_id", "text")
 
 
 class _Packer:

@@ -246,6 +246,16 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
     return df[:-1], int(df[-1])
 
 
+def _votes(index: Index, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(vote, nearest examples, their cosines) of each text."""
+    for _, data, offsets in words.slices(texts):
+        row, term, count = index.vocabulary.counts(data, offsets)
+        at = np.searchsorted(row, np.arange(len(offsets)))
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            rows, cosines = index.nearest(*index.weights(term[a:b], count[a:b]))
+            yield index.vote(rows, cosines), rows, cosines
+
+
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """docs (doc_id, text, anything else): doc_id, score, evidence, one row per row.
 
@@ -261,19 +271,30 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
         index = held.value
         for batch in batches:
             votes, seen = [], []
-            for _, data, offsets in words.slices(batch.column("text")):
-                row, term, count = index.vocabulary.counts(data, offsets)
-                at = np.searchsorted(row, np.arange(len(offsets)))
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    rows, cosines = index.nearest(*index.weights(term[a:b], count[a:b]))
-                    votes.append(index.vote(rows, cosines))
-                    seen.append([
-                        {"doc_id": int(index.ids[r]), "toxic": int(index.labels[r]), "cosine": float(c)}
-                        for r, c in zip(rows[:evidence], cosines[:evidence], strict=True)
-                    ])
+            for vote, rows, cosines in _votes(index, batch.column("text")):
+                votes.append(vote)
+                seen.append([
+                    {"doc_id": int(index.ids[r]), "toxic": int(index.labels[r]), "cosine": float(c)}
+                    for r, c in zip(rows[:evidence], cosines[:evidence], strict=True)
+                ])
             scores = index.score(np.array(votes, dtype=float))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(seen, kind)], ["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(
         run, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
     )
+
+
+def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below the threshold, all columns, in place: no
+    row is shuffled.  Texts that say nothing (null, empty, no known term) stay unless
+    toxic labels are the rule."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = np.array([v for v, *_ in _votes(held.value, batch.column(at))], dtype=float)
+            yield batch.filter(pa.array(held.value.score(votes) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
