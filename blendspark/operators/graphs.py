@@ -132,7 +132,7 @@ def random_walks(
                 break
             weight = F.when(F.col("_linked"), F.lit(1.0)).otherwise(F.lit(1 / q)) / top
             back = hash_unit(f"{mark}.back", F.col("walk"), F.col("_t")) < F.lit(1 / p) / (
-                F.lit(1 / p) + (F.col("degree") - 1) * top
+                F.lit(1 / p) + F.col("degree") * top  # an attempt ahead draws among all neighbours
             )
             kept = (F.col("next") != F.col("prev")) & (hash_unit(f"{mark}.coin", F.col("walk"), F.col("_t")) < weight)
             chosen = F.when(back, F.struct("_t", F.col("prev").alias("next"))).when(kept, F.struct("_t", "next"))

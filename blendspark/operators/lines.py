@@ -37,7 +37,7 @@ def extract_brand(names: DataFrame, brands: DataFrame | None = None, text: str =
     )
     if brands is None:
         return found.withColumn("brand", brand).withColumn("cleaned", cleaned).drop(*candidates)
-    keyed = brands.groupBy(F.lower("brand").alias("_key")).agg(F.first("generic").alias("_generic"))
+    keyed = brands.groupBy(F.lower("brand").alias("_key")).agg(F.min_by("generic", F.struct("brand", "generic")).alias("_generic"))
     keyed_in = F.col("_generic").isNotNull()
     return (
         found.join(keyed, F.col(text) == F.col("_key"), "left")

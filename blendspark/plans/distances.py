@@ -282,7 +282,7 @@ _SQL = {
         FROM lopsided a JOIN lopsided b ON a.i = b.j AND a.j = b.i""",
     "grid_cells": """SELECT p.i, p.j, p.cost AS prior, p.cost AS cost, coalesce(t, 0) AS t FROM prior p LEFT JOIN matches m ON m.i = p.i AND m.j = p.j""",
     "blosum": """SELECT *, -ln((t + 2) / ((sum(t) OVER (PARTITION BY i) + 2) * (sum(t) OVER (PARTITION BY j) + 2)
-        / (sum(t) OVER () + 2 * count(*) OVER ()) + 1e-12) + 1e-12) AS proposal FROM grid_cells""",
+        / (sum(t) OVER () + 2 * (SELECT count(DISTINCT i) FROM grid_cells) ** 2) + 1e-12) + 1e-12) AS proposal FROM grid_cells""",
     "convex": "SELECT *, prior - t / 0.02 AS proposal FROM grid_cells",
 }
 _STABLE = {
@@ -350,4 +350,4 @@ def convex_cost(spark, sf):
 def fit_costs(spark, sf):
     bags, near = near_pairs(spark, sf)
     prior = C.initial_cost(S.tree(spark, sf), C.cost_grid(bags, near))
-    return C.fit_costs(bags, near, prior, C.LearnSettings(rounds=2, iterations=100, eps=0.05))[0]
+    return C.fit_costs(bags, near, prior, rounds=2, iterations=100, smoothing=0.05)[0]

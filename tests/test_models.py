@@ -55,9 +55,8 @@ def test_cost_steps_match_dense_formulas(spark, toy):
     assert np.allclose(square(C.blosum_cost(matches, prior, prior)), want, atol=1e-6)
     want = stabilised(c0 - t / 0.02, c0, c0)
     assert np.allclose(square(C.convex_cost(matches, prior, prior)), want, atol=1e-6)
-    gradient = C.LearnSettings(convex_closed_form=False)
     want = stabilised(c0 - 0.1 * t, c0, c0)
-    assert np.allclose(square(C.convex_cost(matches, prior, prior, gradient)), want, atol=1e-6)
+    assert np.allclose(square(C.convex_cost(matches, prior, prior, one_step=True)), want, atol=1e-6)
 
 
 def test_expected_matches_are_symmetric_and_weighted(spark):
@@ -73,8 +72,7 @@ def test_expected_matches_are_symmetric_and_weighted(spark):
 
 def test_fit_keeps_the_table_sane(spark, toy):
     bags, prior, pairs = toy
-    settings = C.LearnSettings(rounds=2, eps=0.05, iterations=200, k_nn=5)
-    cost, changes = C.fit_costs(bags, pairs, prior, settings)
+    cost, changes = C.fit_costs(bags, pairs, prior, rounds=2, smoothing=0.05, iterations=200, k=5)
     got = square(cost)
     assert np.allclose(got, got.T) and np.all(np.diag(got) == 0) and np.all(got >= 0)
     assert np.median(got[~np.eye(M, dtype=bool)]) == pytest.approx(1.0) and 1 <= len(changes) <= 2
@@ -84,7 +82,7 @@ def test_fit_keeps_the_table_sane(spark, toy):
 
 def test_fit_with_dummy(spark, toy):
     bags, prior, pairs = toy
-    cost, _ = C.fit_costs(bags, pairs, prior, C.LearnSettings(rounds=1, eps=0.1, iterations=50, use_dummy=True, dummy_cost=2.0))
+    cost, _ = C.fit_costs(bags, pairs, prior, rounds=1, smoothing=0.1, iterations=50, dummy=2.0)
     dummy = {(r["i"], r["j"]): r["cost"] for r in cost.where("i = -1 or j = -1").collect()}
     assert dummy[-1, -1] == 0 and all(v == pytest.approx(1.96) for k, v in dummy.items() if k != (-1, -1)) and len(dummy) == 2 * M + 1
 
@@ -154,6 +152,18 @@ def test_return_odds(spark):
     assert sum(w["nodes"][2] == w["nodes"][0] for w in often) >= len(often) * 0.8
 
 
+def test_exact_step_odds(spark):
+    """Paths a-b-c (degree 2) and a-b-{c,d} (degree 3), p = 1, q = 0.5: going back weighs
+    1, going on 2 each."""
+    for ahead in (1, 2):
+        links = [(f"r:{i}", f"i:{i}") for i in range(3000)] + [(f"i:{i}", f"r:{i}.{n}") for i in range(3000) for n in range(ahead)]
+        edges = spark.createDataFrame(links + [(b, a) for a, b in links], "src string, dst string")
+        walks = G.random_walks(edges, walk_length=3, walks_per_node=1, p=1.0, q=0.5, start_prefix="r:")
+        firsts = [w["nodes"] for w in walks.collect() if "." not in w["nodes"][0]]
+        back = sum(n[2] == n[0] for n in firsts) / len(firsts)
+        assert len(firsts) == 3000 and abs(back - 1 / (1 + 2 * ahead)) < 0.03
+
+
 def test_metapath_starts_at_recipes_and_alternates(spark):
     for w in G.metapath_walks(star(spark), 5, 2).collect():
         assert [n[0] for n in w["nodes"]] == ["r", "i", "r", "i", "r"]
