@@ -14,7 +14,7 @@ from blendspark.operators.lineage import cut
 from blendspark.plans import standins as S
 from blendspark.plans.registry import query
 from blendspark.plans.standins import r6 as sql6
-from blendspark.plans.tables import bags_of
+from blendspark.plans.tables import bags_of, nearest_recipes
 
 # The tree is three levels deep: type, brand, part.
 LEVELS = """
@@ -226,12 +226,12 @@ def sparsify_plan(spark, sf):
 # Matches: the product plan of every near pair stands in for a transport plan.
 _LEARN = {
     "levels": LEVELS,
-    "near": "SELECT id1, id2, round(d, 9) AS d FROM manhattan",
+    "near": "SELECT least(id, neighbour) AS id1, greatest(id, neighbour) AS id2, any_value(d) AS d FROM nearest GROUP BY ALL",
     "plan": """SELECT id1 AS r1, id2 AS r2, x.ingredient_id AS i, y.ingredient_id AS j, round(x.w * y.w, 9) AS flow
-        FROM near JOIN bags x ON x.recipe_id = id1 JOIN bags y ON y.recipe_id = id2""",
+        FROM near JOIN matrix x ON x.recipe_id = id1 JOIN matrix y ON y.recipe_id = id2""",
     "two_way": "SELECT id1, id2, d FROM near UNION ALL SELECT id2, id1, d FROM near",
     "lists": """SELECT id1 AS r1, id2 AS r2, exp(-6.0 * (d - min(d) OVER (PARTITION BY id1))) AS e FROM (
-        SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS r FROM two_way) WHERE r <= 3""",
+        SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS r FROM two_way) WHERE r <= 10""",
     "weights": "SELECT r1, r2, e / (sum(e) OVER (PARTITION BY r1) + 1e-12) AS weight FROM lists",
     "ways": "SELECT r1, r2, i, j, flow FROM plan UNION ALL SELECT r2, r1, j, i, flow FROM plan",
     "topped": """SELECT * FROM (SELECT w.*, weight, row_number() OVER (PARTITION BY r1, r2, i ORDER BY flow DESC, j) AS r
@@ -240,15 +240,17 @@ _LEARN = {
     "matches": """SELECT i, j, sum(t) AS t FROM (SELECT i, j, flow * weight / 2 AS t FROM kept
         UNION ALL SELECT j, i, flow * weight / 2 FROM kept) GROUP BY ALL""",
     "grid": """SELECT DISTINCT i AS id1, j AS id2 FROM plan UNION SELECT DISTINCT j, i FROM plan
-        UNION SELECT DISTINCT ingredient_id, ingredient_id FROM bags""",
+        UNION SELECT DISTINCT ingredient_id, ingredient_id FROM matrix""",
     "grid_edges": EDGES.format(pairs="grid"),
     "prior": "SELECT id1 AS i, id2 AS j, 10.0 * edges - 9.0 * substitutable AS cost FROM grid_edges",
 }
 
 
 def near_pairs(spark, sf):
-    bags, _ = bags_of(spark, sf)
-    return bags, cut(B.manhattan_pairs(bags, 1.0).withColumn("d", F.round("d", 9)))
+    """The matrix, and the pairs of every recipe with its ten nearest."""
+    lists = nearest_recipes(spark, sf)
+    pairs = lists.groupBy(F.least("id", "neighbour").alias("id1"), F.greatest("id", "neighbour").alias("id2")).agg(F.min("d").alias("d"))
+    return cut(S.matrix(spark, sf)), cut(pairs)
 
 
 def matches_of(spark, sf):
@@ -260,7 +262,7 @@ def matches_of(spark, sf):
         .withColumn("flow", F.round(F.col("v1") * F.col("v2"), 9))
     )
     prior = C.initial_cost(S.tree(spark, sf), C.cost_grid(bags, near))
-    return C.expected_matches(near, plan, 3, 6.0, 2, 1e-3), prior
+    return C.expected_matches(near, plan), prior
 
 
 @query("expected_matches", S.sql(f"SELECT i, j, {sql6('t')} AS t FROM matches", **_LEARN))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.functions.numeric import r6
+from blendspark.functions.numeric import hash_key, r6
 from blendspark.operators import bags as B
 from blendspark.operators import clusters as CL
 from blendspark.operators import factors as FA
@@ -14,16 +14,52 @@ from blendspark.operators.lineage import cut
 from blendspark.plans import standins as S
 from blendspark.plans.registry import query
 from blendspark.plans.standins import r6 as sql6
-from blendspark.plans.tables import bags_of
+from blendspark.plans.tables import bags_of, nearest_recipes
 
 # --- clusters and factors -------------------------------------------------------
 
 
 @query("kmedoids")
 def kmedoids(spark, sf):
-    bags, _ = bags_of(spark, sf)
-    items = bags.select(F.col("recipe_id").alias("id")).distinct()
-    return CL.kmedoids(items, B.manhattan_pairs(bags, 1.0), k=6, rounds=5).withColumn("d", r6(F.col("d")))
+    bags, members = bags_of(spark, sf)
+    return CL.kmedoids(bags, B.copies_of(members)).withColumn("d", r6(F.col("d")))
+
+
+_START = {
+    "start": """SELECT recipe_id AS medoid FROM (SELECT DISTINCT recipe_id FROM bags)
+        ORDER BY md5('42|' || recipe_id), recipe_id LIMIT 30""",
+    "tot": "SELECT recipe_id, sum(w) AS t FROM bags GROUP BY recipe_id",
+    "to_all": """SELECT a.recipe_id AS id, medoid, round(a.t + m.t - 2 * coalesce(o, 0), 9) AS d
+        FROM tot a CROSS JOIN start JOIN tot m ON m.recipe_id = medoid
+        LEFT JOIN (SELECT x.recipe_id AS xid, y.recipe_id AS yid, sum(least(x.w, y.w)) AS o FROM bags x JOIN bags y
+            ON x.ingredient_id = y.ingredient_id WHERE y.recipe_id IN (SELECT medoid FROM start) GROUP BY ALL) ON xid = a.recipe_id AND yid = medoid""",
+    "labelled_bags": "SELECT id, medoid, d, copies FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, medoid) AS r FROM to_all) JOIN members ON recipe_id = id WHERE r = 1",
+    "inner_sums": """SELECT a.id, a.medoid, round(n * t.t + whole - 2 * coalesce(o, 0), 6) AS total FROM labelled_bags a JOIN tot t ON t.recipe_id = a.id
+        JOIN (SELECT medoid, sum(copies) AS n, sum(copies * t) AS whole FROM labelled_bags JOIN tot ON recipe_id = id GROUP BY medoid) USING (medoid)
+        LEFT JOIN (SELECT p.id, sum(q.copies * least(x.w, y.w)) AS o FROM labelled_bags p JOIN bags x ON x.recipe_id = p.id
+            JOIN bags y ON x.ingredient_id = y.ingredient_id JOIN labelled_bags q ON q.id = y.recipe_id AND q.medoid = p.medoid GROUP BY p.id) USING (id)""",
+}
+
+
+@query("kmedoids_labels", S.sql(f"SELECT id, medoid, {sql6('greatest(d, 0)')} AS d FROM labelled_bags", **_START))
+def kmedoids_labels(spark, sf):
+    return first_step(spark, sf)[1].withColumn("d", r6(F.col("d")))
+
+
+@query(
+    "kmedoids_centres",
+    S.sql("SELECT medoid, id AS new, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY medoid ORDER BY total, id <> medoid, id) AS r FROM inner_sums) WHERE r = 1", **_START),
+)
+def kmedoids_centres(spark, sf):
+    bags, labels, members = first_step(spark, sf)
+    return CL.best_centres(bags, labels, B.copies_of(members)).withColumn("total", F.round("total", 4))
+
+
+def first_step(spark, sf):
+    """Bags, their nearest of thirty hashed medoids, members."""
+    bags, members = bags_of(spark, sf)
+    ids = bags.select("recipe_id").distinct().orderBy(hash_key(42, F.col("recipe_id")), "recipe_id").limit(30)
+    return bags, cut(CL.nearest_medoid(bags, sorted(r[0] for r in ids.collect()))), members
 
 
 @query("cluster_sizes", "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
@@ -76,8 +112,7 @@ def project_2d(spark, sf):
 
 @query("fuzzy_edges")
 def fuzzy_edges(spark, sf):
-    bags, _ = bags_of(spark, sf)
-    return FA.fuzzy_edges(N.knn(B.manhattan_pairs(bags, 1.0), 5)).withColumn("weight", r6(F.col("weight")))
+    return FA.fuzzy_edges(nearest_recipes(spark, sf)).withColumn("weight", r6(F.col("weight")))
 
 
 # --- graphs ---------------------------------------------------------------------

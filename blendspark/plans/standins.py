@@ -211,6 +211,16 @@ CTES = {
             SELECT x.recipe_id AS id1, y.recipe_id AS id2, greatest(2 - 2 * sum(least(x.w, y.w)), 0) AS d
             FROM bags x JOIN bags y ON x.ingredient_id = y.ingredient_id AND x.recipe_id < y.recipe_id GROUP BY ALL)
         WHERE d <= 1.0 + 1e-9""",
+    "sharing": """
+        SELECT x.recipe_id AS id, y.recipe_id AS neighbour, greatest(2 - 2 * sum(least(x.w, y.w)), 0) AS d
+        FROM matrix x JOIN matrix y ON x.ingredient_id = y.ingredient_id AND x.recipe_id <> y.recipe_id GROUP BY ALL""",
+    "lowest": "SELECT DISTINCT recipe_id FROM matrix ORDER BY recipe_id LIMIT 40",
+    "apart": """
+        SELECT a.recipe_id AS id, b.recipe_id AS neighbour, 2.0 AS d FROM (SELECT DISTINCT recipe_id FROM matrix) a
+        JOIN lowest b ON a.recipe_id <> b.recipe_id WHERE (a.recipe_id, b.recipe_id) NOT IN (SELECT (id, neighbour) FROM sharing)""",
+    "nearest": f"""
+        SELECT id, neighbour, rank, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM (
+            SELECT id, neighbour, {r6('d')} AS d FROM sharing UNION ALL SELECT * FROM apart)) WHERE rank <= 10""",
     "item_pairs": """
         SELECT DISTINCT l_partkey + 100000 AS id1, o_custkey + 100000 AS id2
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey <> o_custkey""",

@@ -353,18 +353,14 @@ def knn(spark, sf):
     return N.knn(manhattan_pairs(spark, sf), 5)
 
 
-@query(
-    "knn_recipes",
-    sql(f"""SELECT id, neighbour, rank, d FROM (SELECT id, neighbour, d,
-            row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM (
-            SELECT x.recipe_id AS id, y.recipe_id AS neighbour, {sql6('greatest(2 - 2 * sum(least(x.w, y.w)), 0)')} AS d
-            FROM matrix x JOIN matrix y ON x.ingredient_id = y.ingredient_id AND x.recipe_id <> y.recipe_id GROUP BY ALL)
-        WHERE d <= 1.0) WHERE rank <= 5"""),
-)
-def knn_recipes(spark, sf):
+def nearest_recipes(spark, sf, k=10):
     bags, members = bags_of(spark, sf)
-    pairs = B.manhattan_pairs(bags, 1.0).withColumn("d", r6(F.col("d")))
-    return N.knn_recipes(pairs, members, 5)
+    return N.nearest_recipes(bags, members, k)
+
+
+@query("knn_recipes", sql("SELECT id, neighbour, rank, d FROM nearest"))
+def knn_recipes(spark, sf):
+    return nearest_recipes(spark, sf)
 
 
 _DOT = "list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i]))"
