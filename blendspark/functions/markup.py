@@ -66,11 +66,28 @@ class Node:
             self.parent = None
 
     def html(self) -> str:
-        inner = "".join(c.html() if isinstance(c, Node) else escape(c, quote=False) for c in self.children)
-        if not self.tag:
-            return inner
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        """The markup; pages may be nested to any depth, so nothing here recurses."""
+        out: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, _Tag):
+                out.append(at)
+            elif isinstance(at, Node):
+                if at.tag:
+                    attrs = "".join(f' {k}="{escape(v)}"' for k, v in at.attrs.items())
+                    out.append(f"<{at.tag}{attrs}>")
+                    if at.tag in VOID:
+                        continue
+                    todo.append(_Tag(f"</{at.tag}>"))
+                todo.extend(reversed(at.children))
+            else:
+                out.append(escape(at, quote=False))
+        return "".join(out)
+
+
+class _Tag(str):
+    """A closing tag that waits for what stands before it."""
 
 
 class _Builder(HTMLParser):

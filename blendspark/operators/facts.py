@@ -153,27 +153,27 @@ def check_recipe_documents(documents: DataFrame) -> DataFrame:
 
 
 def check_category_cover(uses: DataFrame, categories: DataFrame) -> DataFrame:
-    """What breaks a cover: a recipe without exactly one item of a category, an
-    item without one or two categories.  Rows (kind, id, category, n)."""
+    """What breaks a cover, as rows (kind, id, category, n): a recipe with several items
+    of a category; how many categories a recipe is missing; an item without one or
+    two categories.  Only what is present is listed, never recipes by categories."""
     per = (
         uses.select("recipe_id", "ingredient_id")
         .distinct()
-        .join(categories, "ingredient_id")
+        .join(categories.where("category is not null").distinct(), "ingredient_id")
         .groupBy("recipe_id", "category")
         .agg(F.count("*").alias("n"))
     )
-    all_categories = categories.select("category").distinct()
-    # The grid has one row per recipe and category: the vocabulary of categories
-    # is exploded from one array, not joined.
-    wanted = all_categories.agg(F.array_sort(F.collect_set("category")).alias("c")).first()["c"]
-    grid = uses.select("recipe_id").distinct().withColumn(
-        "category", F.explode(F.array(*(F.lit(c) for c in wanted)))
-    )
-    recipes = (
-        grid.join(per, ["recipe_id", "category"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .where("n <> 1")
-        .select(F.lit("recipe").alias("kind"), F.col("recipe_id").alias("id"), "category", "n")
+    wanted = categories.agg(F.count_distinct("category").alias("_all"))
+    present = per.groupBy("recipe_id").agg(F.count("*").alias("_c"))
+    none = F.lit(None).cast("string")
+    often = per.where("n > 1").select(F.lit("recipe").alias("kind"), F.col("recipe_id").alias("id"), "category", "n")
+    missing = (
+        uses.select("recipe_id").distinct().join(present, "recipe_id", "left").join(F.broadcast(wanted))  # one number
+        .select(
+            F.lit("missing").alias("kind"), F.col("recipe_id").alias("id"), none.alias("category"),
+            (F.col("_all") - F.coalesce("_c", F.lit(0))).alias("n"),
+        )
+        .where("n > 0")
     )
     items = (
         uses.select("ingredient_id")
@@ -182,9 +182,6 @@ def check_category_cover(uses: DataFrame, categories: DataFrame) -> DataFrame:
         .groupBy("ingredient_id")
         .agg(F.count("category").alias("n"))
         .where("n not between 1 and 2")
-        .select(
-            F.lit("ingredient").alias("kind"), F.col("ingredient_id").alias("id"),
-            F.lit(None).cast("string").alias("category"), "n",
-        )
+        .select(F.lit("ingredient").alias("kind"), F.col("ingredient_id").alias("id"), none.alias("category"), "n")
     )
-    return recipes.unionByName(items)
+    return often.unionByName(missing).unionByName(items)

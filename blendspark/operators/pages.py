@@ -263,7 +263,7 @@ def clean_pages(pages: DataFrame, layout: str = "recipe_box") -> DataFrame:
                 out = None
                 try:
                     out = cleaner(parse(html)) if html else html
-                except (ValueError, AssertionError, RecursionError):
+                except (ValueError, AssertionError):
                     pass  # broken markup: keep the page
                 cleaned.append(html if out is None else out)
             yield batch.assign(cleaned=cleaned)

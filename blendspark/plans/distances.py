@@ -104,16 +104,37 @@ def weighted_volume_cost(spark, sf):
     return out.select("r1", "r2", "i", "j", "k", r6(F.col("cost")).alias("cost"))
 
 
+def listed_length(column: str):
+    """Length of an array, 0 where there is none."""
+    return F.coalesce(F.size(column), F.lit(0))
+
+
 @query("assignment_distance_pairs")
 def assignment_distance_pairs(spark, sf):
     out = TP.assignment_distance_pairs(TR.weighted_volume_cost(costs_of(spark, sf)))
-    return out.select("r1", "r2", r6(F.col("d")).alias("d"), F.size("matches").alias("n_matches"))
+    out = TP.with_empty_sides(out, S.recipe_pairs(spark, sf), S.fractions(spark, sf))
+    return out.select("r1", "r2", r6(F.col("d")).alias("d"), listed_length("matches").alias("n_matches"))
 
 
 @query("entropic_ot_pairs")
 def entropic_ot_pairs(spark, sf):
-    out = TP.entropic_ot_pairs(costs_of(spark, sf), "k", eps=0.1, iterations=200)
-    return out.select("r1", "r2", r6(F.col("d")).alias("d"), F.size("plan").alias("n_flows"))
+    out = TP.entropic_ot_pairs(costs_of(spark, sf), "k", eps=0.1, iterations=500)
+    out = TP.with_empty_sides(out, S.recipe_pairs(spark, sf), S.fractions(spark, sf))
+    return out.select("r1", "r2", r6(F.col("d")).alias("d"), listed_length("plan").alias("n_flows"))
+
+
+# What holds for any transport: every given pair has a distance, and one without a
+# volume on either side pays what the other side has.
+_SIDES = {
+    "held": "SELECT recipe_id, count(DISTINCT ingredient_id) AS n, sum(volume_fraction) AS t FROM fractions WHERE volume_fraction IS NOT NULL GROUP BY ALL",
+    "one_sided": f"""SELECT id1 AS r1, id2 AS r2, {sql6('coalesce(a.t, 0) + coalesce(b.t, 0)')} AS d FROM recipe_pairs
+        LEFT JOIN held a ON a.recipe_id = id1 LEFT JOIN held b ON b.recipe_id = id2 WHERE a.n IS NULL OR b.n IS NULL""",
+}
+
+
+@query("one_sided_pairs", S.sql("SELECT r1, r2, d FROM one_sided", **_SIDES))
+def one_sided_pairs(spark, sf):
+    return assignment_distance_pairs(spark, sf).where("n_matches = 0").select("r1", "r2", "d")
 
 
 _EMD = {

@@ -207,18 +207,20 @@ def train_embeddings(spark, sf):
 
 
 def node_vectors(spark, sf):
-    """Given vectors: customer n and the brands with number n take vector n."""
+    """A given vector for every customer and brand: that of its number modulo their count."""
     vectors = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    brands = S.parts(spark, sf).select("brand_id", F.col("brand_no").alias("vec_id")).distinct()
-    return vectors.select(G.recipe_node(F.col("vec_id")).alias("node"), "embedding").unionByName(
+    every = F.lit(vectors.count())
+    brands = S.parts(spark, sf).select("brand_id", (F.col("brand_no") % every).alias("vec_id")).distinct()
+    customers = S.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % every).alias("vec_id"))
+    return customers.join(vectors, "vec_id").select(G.recipe_node(F.col("c_custkey")).alias("node"), "embedding").unionByName(
         brands.join(vectors, "vec_id").select(G.ingredient_node(F.col("brand_id")).alias("node"), "embedding")
     )
 
 
 FEATURES = {
     **GRAPH,
-    "vectors": """SELECT 'r:' || vec_id AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL
-        SELECT 'i:' || brand_id, CAST(embedding AS DOUBLE[]) FROM (SELECT DISTINCT brand_id, brand_no FROM parts) JOIN embeddings ON vec_id = brand_no""",
+    "vectors": """SELECT 'r:' || c_custkey AS node, CAST(embedding AS DOUBLE[]) AS v FROM customer JOIN embeddings ON vec_id = c_custkey % (SELECT count(*) FROM embeddings) UNION ALL
+        SELECT 'i:' || brand_id, CAST(embedding AS DOUBLE[]) FROM (SELECT DISTINCT brand_id, brand_no FROM parts) JOIN embeddings ON vec_id = brand_no % (SELECT count(*) FROM embeddings)""",
     "features": """SELECT l.src, l.dst, label, list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i]) AS f
         FROM labelled l JOIN vectors a ON a.node = src JOIN vectors b ON b.node = dst""",
     "norms": "SELECT label, sqrt(list_sum(list_transform(f, lambda x: x * x))) AS norm FROM features",

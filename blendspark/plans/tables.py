@@ -153,19 +153,20 @@ def check_recipe_documents(spark, sf):
 @query(
     "check_category_cover",
     sql(
-        """SELECT 'recipe' AS kind, recipe_id AS id, category, coalesce(n, 0) AS n
-        FROM (SELECT DISTINCT recipe_id FROM uses) r CROSS JOIN (SELECT DISTINCT category FROM categories) c
-        LEFT JOIN (SELECT recipe_id, category, count(DISTINCT ingredient_id) AS n FROM uses JOIN categories USING (ingredient_id)
-            GROUP BY ALL) USING (recipe_id, category) WHERE coalesce(n, 0) <> 1
+        """SELECT 'recipe' AS kind, recipe_id AS id, category, n FROM counted WHERE n > 1
+        UNION ALL SELECT 'missing', recipe_id, NULL, (SELECT count(DISTINCT category) FROM categories) - coalesce(c, 0)
+        FROM (SELECT DISTINCT recipe_id FROM uses) LEFT JOIN (SELECT recipe_id, count(*) AS c FROM counted GROUP BY ALL) USING (recipe_id)
+        WHERE coalesce(c, 0) < (SELECT count(DISTINCT category) FROM categories)
         UNION ALL SELECT 'ingredient', ingredient_id, NULL, count(category) FROM (SELECT DISTINCT ingredient_id FROM uses)
         LEFT JOIN categories USING (ingredient_id) GROUP BY ingredient_id HAVING count(category) NOT BETWEEN 1 AND 2""",
-        categories="SELECT item_id AS ingredient_id, p_type AS category FROM parts WHERE p_size > 2",
+        categories="SELECT item_id AS ingredient_id, CASE WHEN p_size > 2 THEN p_type END AS category FROM parts",
+        counted="""SELECT recipe_id, category, count(DISTINCT ingredient_id) AS n FROM uses JOIN categories USING (ingredient_id)
+            WHERE category IS NOT NULL GROUP BY ALL""",
     ),
 )
 def check_category_cover(spark, sf):
-    categories = S.parts(spark, sf).where("p_size > 2").select(
-        F.col("item_id").alias("ingredient_id"), F.col("p_type").alias("category")
-    )
+    category = F.when(F.col("p_size") > 2, F.col("p_type"))
+    categories = S.parts(spark, sf).select(F.col("item_id").alias("ingredient_id"), category.alias("category"))
     return FO.check_category_cover(S.uses(spark, sf), categories)
 
 

@@ -129,16 +129,18 @@ def taxonomy_table(spark, sf):
     words = S.table(spark, sf, "part").select(
         F.substring_index("p_name", " ", -1).alias("category"), F.col("p_name").alias("specific_type")
     ).distinct()
-    terms = words.where("specific_type not like 'small%'").withColumn("term", F.col("specific_type"))
+    # Small ones are listed under another spelling, so that some names find no term.
+    terms = words.withColumn("term", F.regexp_replace("specific_type", "^small", "petite"))
     wide = words.where("category = 'gear'").withColumn("term", F.concat(F.lit("big "), "specific_type"))
     return dense_index(terms.unionByName(wide), "category", "specific_type", "term", name="ord")
 
 
 def brand_table(spark, sf):
+    # Higher numbers are listed under another spelling, so that some names are no key.
+    key = F.when(F.col("brand_no") <= 12, brand_text()).otherwise(F.concat(F.lit("House "), brand_text()))
     return (
         S.parts(spark, sf)
-        .where("brand_no <= 12")
-        .groupBy(brand_text().alias("brand"))
+        .groupBy(key.alias("brand"))
         .agg(F.min("p_name").alias("generic"))
     )
 
@@ -164,9 +166,9 @@ MATCHING = {
             WHEN 4 THEN p_name || ', to rinse' ELSE b END AS text FROM (SELECT *, replace(p_brand, '#', ' ') AS b FROM part)""",
     "words": "SELECT DISTINCT split_part(p_name, ' ', 2) AS category, p_name AS specific_type FROM part",
     "taxonomy": """SELECT *, row_number() OVER (ORDER BY category, specific_type, term) - 1 AS ord FROM (
-            SELECT *, specific_type AS term FROM words WHERE specific_type NOT LIKE 'small%'
+            SELECT *, regexp_replace(specific_type, '^small', 'petite') AS term FROM words
             UNION ALL SELECT *, 'big ' || specific_type FROM words WHERE category = 'gear')""",
-    "brands": "SELECT lower(replace(p_brand, '#', ' ')) AS brand, min(p_name) AS generic FROM parts WHERE brand_no <= 12 GROUP BY 1",
+    "brands": "SELECT lower(CASE WHEN brand_no <= 12 THEN '' ELSE 'House ' END || replace(p_brand, '#', ' ')) AS brand, min(p_name) AS generic FROM parts GROUP BY 1",
     "normed": rf"SELECT text, trim(regexp_replace(lower({_PLAIN}), '\s+', ' ', 'g')) AS norm FROM (SELECT DISTINCT text FROM names)",
     "branded": f"SELECT text, {_sql_brand()} FROM normed LEFT JOIN brands ON norm = brands.brand",
     "matched": r"""SELECT text, brand, specific_type, category, confidence FROM (
@@ -288,14 +290,16 @@ def spelled_names(spark, sf):
 
 
 def catalogue(spark, sf):
-    p = S.parts(spark, sf).where("p_name not like 'old%'")
-    return p.select(F.col("item_id").alias("id"), F.initcap("p_name").alias("name"), F.col("item_path").alias("path"))
+    # Old ones are listed under another spelling, so that some names find no entry.
+    name = F.regexp_replace("p_name", "^old", "ancient")
+    return S.parts(spark, sf).select(F.col("item_id").alias("id"), F.initcap(name).alias("name"), F.col("item_path").alias("path"))
 
 
 NAMES = {
     "spelled": """SELECT p_partkey AS id, p_name, p_brand, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Fresh ' || p_name ELSE upper(p_name) || ', fresh' END AS name FROM part""",
     "keyed": "SELECT *, regexp_replace(replace(lower(name), ', fresh', ''), '^fresh ', '') AS key FROM spelled",
-    "catalogue": "SELECT item_id AS id, p_name AS key, item_path AS path, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS name FROM parts WHERE p_name NOT LIKE 'old%'",
+    "catalogue": """SELECT item_id AS id, n AS key, item_path AS path, upper(n[1]) || split_part(n, ' ', 1)[2:] || ' ' || upper(split_part(n, ' ', 2)[1]) || split_part(n, ' ', 2)[2:] AS name
+        FROM (SELECT *, regexp_replace(p_name, '^old', 'ancient') AS n FROM parts)""",
     "last_entries": "SELECT key, max(id) AS id, arg_max(name, id) AS name, arg_max(path, id) AS path FROM catalogue GROUP BY key",
     "mapping": "SELECT DISTINCT name, p_brand AS mapped_name FROM spelled WHERE p_brand = 'Brand#1' AND name = p_name",
 }
@@ -591,13 +595,13 @@ def recipes_using(spark, sf):
 @query(
     "lookup_recipe_id",
     S.sql("""SELECT page_id, 'raw_recipes/html/' || page_id || '.html' AS file, recipe_id, recipe_name
-        FROM pages LEFT JOIN (SELECT * FROM docs WHERE source = 'O') ON recipe_id = page_id""", **USES),
+        FROM pages LEFT JOIN docs ON recipe_id = page_id""", **USES),
 )
 def lookup_recipe_id(spark, sf):
     pages = S.table(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("/data/in/html/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path")
     )
-    stored = recipe_docs(spark, sf).where("source = 'O'").withColumnRenamed("path", "source_file")
+    stored = recipe_docs(spark, sf).withColumnRenamed("path", "source_file")
     return MP.lookup_recipe_id(pages, stored).select("page_id", T.db_path(F.col("path")).alias("file"), "recipe_id", "recipe_name")
 
 

@@ -93,8 +93,9 @@ def test_category_cover(spark):
     uses = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 7)], "recipe_id long, ingredient_id long")
     categories = spark.createDataFrame([(5, "base"), (6, "sour"), (7, "base")], "ingredient_id long, category string")
     assert rows(FO.check_category_cover(uses, categories), "kind", "id", "category", "n") == [
-        ("recipe", 2, "base", 2), ("recipe", 2, "sour", 0)
+        ("missing", 2, None, 1), ("recipe", 2, "base", 2)
     ]
+    assert FO.check_category_cover(uses, categories.limit(0)).where("kind <> 'ingredient'").count() == 0
 
 
 def put(folder, name, content):
