@@ -3,9 +3,9 @@
 A document is its set of five-word shingles; two link when 100 * shared >= 80 * joint.
 
 1. Equal sets are one class; one document stands for it.
-2. Of each set the quarter of lowest hashes is counted over all classes.  A set with a
-   partner misses at most a fifth of its shingles there, so that a known number of that
-   quarter must occur elsewhere; sets that fall short are alone.
+2. Of each set the three tenths of lowest hashes are counted over all classes.  A set with
+   a partner lacks at most a fifth of its shingles there, so that a known number of these
+   must occur elsewhere; sets that fall short are alone.
 3. The others are indexed by a prefix in which shingles that many of them share come
    last.  Two that link share a shingle of their prefixes, and their sizes lie in the
    same or the next band: that pair of values is the tile.  In a tile the number of
@@ -32,8 +32,10 @@ from blendspark.operators.lineage import cut
 WORDS = 5
 #: A link needs shared / joint >= MANY / OF.
 MANY, OF = 4, 5
+#: One of so many shingles is counted beyond the prefix that a link would need.
+SPARE = 10
 #: Longs of a signature.
-SIGNATURE = 4
+SIGNATURE = 8
 #: A shingle of more than this many sets comes late in prefixes; doubled until no more
 #: than MOST_FREQUENT are listed, which bounds what is broadcast.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
@@ -57,7 +59,7 @@ def missing(n):
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Longs whose bits are the parities of the hashes that fall to them: each element
     that only one of two sets has changes one bit."""
-    bits = np.bincount((hashes >> np.uint64(64 - 8)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    bits = np.bincount((hashes % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -79,7 +81,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 d1.append(spread.sum(dtype=np.uint64))
                 d2.append(words.mix(spread ^ np.uint64(0x5555)).sum(dtype=np.uint64))
-                low.append(s[:missing(len(s)) + 1 + len(s) // 20])
+                low.append(s[:missing(len(s)) + 1 + len(s) // SPARE])
             digests = [pa.array(np.array(d, dtype=np.uint64).view(np.int64)) for d in (d1, d2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), *digests, _lists(low)],
@@ -91,26 +93,37 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def company(classes: DataFrame) -> DataFrame:
-    """node, n of the classes (node, n, low) that may have a partner: enough of their
+    """node of the classes (node, n, low) that may have a partner: enough of their
     lowest shingles occur in other classes too."""
-    low = classes.select("node", "n", F.explode("low").alias("s"))
+    low = classes.select("node", F.explode("low").alias("s"))
     common = low.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
-    met = low.join(common, "s", "left_semi").groupBy("node", "n").agg(F.count("*").alias("met"))
+    met = low.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
     lack = F.col("n") - F.ceil(F.col("n") * MANY / OF)
-    taken = F.least(F.col("n"), lack + 1 + F.floor(F.col("n") / 20))
-    return met.where(F.col("met") >= taken - lack).select("node", "n")
+    taken = F.least(F.col("n"), lack + 1 + F.floor(F.col("n") / SPARE))
+    return met.join(classes.select("node", "n"), "node").where(F.col("met") >= taken - lack).select("node")
+
+
+MARKS = [f"g{i}" for i in range(SIGNATURE)]
+
+
+def marks_of(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of ``MARKS``."""
+    signs = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, SIGNATURE)
+    return [pa.array(signs[:, i]) for i in range(SIGNATURE)]
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, hashes of the given rows of docs."""
+    """node, n, hashes and signature of the given rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(list(shingle_sets(batch.column("text"))))], ["node", "hashes"])
+            sets = list(shingle_sets(batch.column("text")))
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), size, _lists(sets), *marks_of(sets)], ["node", "n", "hashes", *MARKS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), text_of(docs).alias("text"))
     wanted = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-    return rows.join(wanted, "node", "left_semi").mapInArrow(run, "node long, hashes array<long>").withColumn("n", F.size("hashes").cast("long"))
+    return rows.join(wanted, "node", "left_semi").mapInArrow(run, "node long, n long, hashes array<long>, " + ", ".join(f"{g} long" for g in MARKS))
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -127,40 +140,37 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(sets: DataFrame) -> DataFrame:
-    """s, node, n, band, g0..: a row for each shingle of each set's prefix."""
+    """s, node: a row for each shingle of each set's prefix."""
     held = sets.sparkSession.sparkContext.broadcast(frequent(sets))
-    names = [f"g{i}" for i in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = held.value
         for batch in batches:
             lists = batch.column("hashes")
             flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            parts, marks = [], []
+            parts = [np.zeros(0, np.uint64)]
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 s = np.sort(flat[a:b])
                 at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
                 sets_with = np.where(often[at] == s, count[at], 0) if len(often) else np.zeros(len(s), np.int64)
                 parts.append(s[np.lexsort((s, sets_with))][:missing(len(s)) + 1])
-                marks.append(signature(s))
-            size = np.array([len(p) for p in parts], dtype=np.int64)
-            signs = np.repeat(np.array(marks).reshape(-1, SIGNATURE), size, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("node")), size)),
-                    pa.array(np.repeat(np.diff(ends), size)), *[pa.array(signs[:, i]) for i in range(SIGNATURE)],
-                ],
-                ["s", "node", "n", *names],
-            )
+            node = np.repeat(np.asarray(batch.column("node")), [len(p) for p in parts[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], ["s", "node"])
 
-    rows = sets.select("node", "hashes").mapInArrow(run, "s long, node long, n long, " + ", ".join(f"{g} long" for g in names))
-    return rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(OF / MANY))).cast("int"))
+    return sets.select("node", "hashes").mapInArrow(run, "s long, node long")
+
+
+def tiles_of(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """s, node, n, band and signature of the keys (s, node) that two sets share."""
+    shared = keys.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
+    band = F.floor(F.log("n") / F.log(F.lit(OF / MANY))).cast("int").alias("band")
+    return keys.join(shared, "s", "left_semi").join(sets.select("node", "n", band, *MARKS), "node")
 
 
 def _may_link(a: str, b: str) -> Column:
     """Sizes and signatures allow a link: shared <= (n + m - differing bits) / 2."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.g{i}").bitwiseXOR(F.col(f"{b}.g{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.{g}").bitwiseXOR(F.col(f"{b}.{g}"))) for g in MARKS), F.lit(0))
     # shared / joint >= MANY / OF, with joint = n + m - shared
     return (OF * F.least(n, m) >= MANY * F.greatest(n, m)) & ((MANY + OF) * (n + m - differ) >= 2 * MANY * (n + m))
 
@@ -174,11 +184,19 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * shared >= 80 * joint).select("a", "b")
 
 
+def joined_up(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of all sets that link: by hubs first, then between what is
+    still apart."""
+    found = components(cut(linked(hub_pairs(tiles), sets)))
+    more = cut(linked(cross_pairs(tiles, found), sets))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
 def hub_pairs(tiles: DataFrame) -> DataFrame:
     """Each set with the hub of every shingle and band it is indexed by.  The shingles
     choose hubs by one of ``HUBS`` orders of the sets, so that a crowd has few hubs."""
     order = F.xxhash64(F.pmod("s", F.lit(HUBS)), "node")
-    first = F.struct(order.alias("o"), "node", "n", *[f"g{i}" for i in range(SIGNATURE)])
+    first = F.struct(order.alias("o"), "node", "n", *MARKS)
     hubs = tiles.groupBy("s", "band").agg(F.min(first).alias("h"), F.count("*").alias("sets")).where("sets > 1").select("s", "band", "h.*")
     met = tiles.alias("t").join(hubs.alias("h"), ["s", "band"]).where((F.col("t.node") != F.col("h.node")) & _may_link("t", "h"))
     return met.select(F.least("t.node", "h.node").alias("a"), F.greatest("t.node", "h.node").alias("b")).distinct()
@@ -193,7 +211,7 @@ def cross_pairs(tiles: DataFrame, found: DataFrame) -> DataFrame:
     open_ones = placed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
     placed = cut(placed.join(open_ones, "s", "left_semi"))
     tile = F.explode(F.array("band", F.col("band") - 1))
-    larger = placed.select("s", "node", "n", "component", F.col("band").alias("own"), *[f"g{i}" for i in range(SIGNATURE)], tile.alias("band"))
+    larger = placed.select("s", "node", "n", "component", F.col("band").alias("own"), *MARKS, tile.alias("band"))
     met = placed.alias("a").join(larger.alias("b"), ["s", "band"]).where(
         (F.col("a.component") != F.col("b.component")) & _may_link("a", "b")
         & ((F.col("b.own") > F.col("band")) | (F.struct("b.n", "b.node") > F.struct("a.n", "a.node")))
@@ -217,14 +235,11 @@ def overlap_components(docs: DataFrame) -> DataFrame:
             F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("least")
         )
     )
-    low = rows.select(F.col("row").alias("node"), "n", "low").join(classes.select("node"), "node", "left_semi")
-    nodes = cut(company(low))
-    sets = cut(full_sets(docs, nodes.select("node")))
-    tiles = cut(index(sets))
-    links = cut(linked(hub_pairs(tiles), sets))
-    found = components(links)
-    more = cut(linked(cross_pairs(tiles, found), sets))
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    copies = rows.where("n > 0").select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti")
+    low = rows.where("n > 0").select(F.col("row").alias("node"), "n", "low").join(copies.select(F.col("row").alias("node")), "node", "left_anti")
+    sets = cut(full_sets(docs, cut(company(low))))
+    tiles = cut(tiles_of(cut(index(sets)), sets))
+    found = joined_up(tiles, sets)
     placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = placed.groupBy("component").agg(F.min("least").alias("first"))
     named = cut(placed.join(groups, "component").select(*key, "first"))
