@@ -108,13 +108,12 @@ def candidates(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]])
     sum, so that a list holding nearly all documents is split like any other.
     """
     asked = [
-        (rule, n, t, len(clause))
+        F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("clause"), F.lit(t).alias("trigram"), F.lit(len(clause)).alias("need"))
         for rule, clauses in queries.items()
         for n, clause in enumerate(sorted(map(sorted, clauses)))
         for t in clause
     ]
-    spark = index.sparkSession
-    wanted = spark.createDataFrame(asked, "rule string, clause int, trigram string, need int")
+    wanted = index.sparkSession.range(1).select(F.inline(F.array(*asked)))
     met = (
         index.join(F.broadcast(wanted), "trigram")  # as long as the rules
         .groupBy("doc_id", "rule", "clause", "need")
