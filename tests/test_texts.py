@@ -183,3 +183,13 @@ def test_addresses(spark):
     ).first()
     assert row["amp"] == "https://e.org/rhum-and-cos-sour-no-2/" and row["plain"] == "https://e.org/rhum-cos-sour"
     assert row["db"] == "raw_recipes/c/d.html" and row["bare"] == "d.html" and row["file"] == "a_20b.html"
+
+
+def test_markup_of_any_depth():
+    from blendspark.functions.markup import parse
+
+    html = "<div>" * 3000 + '<p class="a">x &amp; y<br>z</p>' + "</div>" * 3000
+    root = parse(html)
+    assert root.html() == html
+    root.find("p").remove()
+    assert root.html() == "<div>" * 3000 + "</div>" * 3000
