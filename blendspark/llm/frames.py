@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blendspark.operators.lineage import cut
+
+#: Narrow rows (a few numbers each) are broadcast up to this number.
+MOST_BROADCAST = 1 << 20
 #: Sampled keys behind each range.
 SAMPLES_PER_RANGE = 60
 
@@ -26,6 +32,22 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """A list of rows to join with, kept in the shared folder.  It is broadcast if it has
+    no more than ``MOST_BROADCAST`` rows, which spares the other side its shuffle; a
+    longer one is joined by a shuffle."""
+    kept = cut(ids)
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
+def release(spark) -> None:
+    """Let go of the shuffle and checkpoint files of finished steps.  Spark's cleaner drops
+    them once the driver has collected the garbage that refers to them, which a driver
+    with little to do seldom does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ranges_for(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

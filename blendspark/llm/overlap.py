@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from blendspark.llm import words
 from blendspark.llm.components import components
-from blendspark.llm.frames import fresh, text_of
+from blendspark.llm.frames import fresh, listed, release, text_of
 from blendspark.operators.lineage import cut
 
 WORDS = 5
@@ -39,8 +39,6 @@ SIGNATURE = 8
 #: A shingle of more than this many sets comes late in prefixes; doubled until no more
 #: than MOST_FREQUENT are listed, which bounds what is broadcast.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
-#: Ids of sets are broadcast up to this number; beyond, the texts are shuffled to them.
-MOST_BROADCAST = 1 << 20
 HUBS = 3
 
 
@@ -122,8 +120,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), size, _lists(sets), *marks_of(sets)], ["node", "n", "hashes", *MARKS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), text_of(docs).alias("text"))
-    wanted = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-    return rows.join(wanted, "node", "left_semi").mapInArrow(run, "node long, n long, hashes array<long>, " + ", ".join(f"{g} long" for g in MARKS))
+    return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, n long, hashes array<long>, " + ", ".join(f"{g} long" for g in MARKS))
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +185,9 @@ def joined_up(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of all sets that link: by hubs first, then between what is
     still apart."""
     found = components(cut(linked(hub_pairs(tiles), sets)))
+    release(sets.sparkSession)
     more = cut(linked(cross_pairs(tiles, found), sets))
+    release(sets.sparkSession)
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
@@ -236,16 +235,22 @@ def overlap_components(docs: DataFrame) -> DataFrame:
         )
     )
     copies = rows.where("n > 0").select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti")
-    low = rows.where("n > 0").select(F.col("row").alias("node"), "n", "low").join(copies.select(F.col("row").alias("node")), "node", "left_anti")
-    sets = cut(full_sets(docs, cut(company(low))))
+    copies = listed(copies.select(F.col("row").alias("node")))
+    low = rows.where("n > 0").select(F.col("row").alias("node"), "n", "low").join(copies, "node", "left_anti")
+    nodes = listed(company(low))
+    rows = cut(rows.drop("low"))
+    del low, copies
+    release(docs.sparkSession)
+    sets = cut(full_sets(docs, nodes))
     tiles = cut(tiles_of(cut(index(sets)), sets))
+    release(docs.sparkSession)
     found = joined_up(tiles, sets)
     placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = placed.groupBy("component").agg(F.min("least").alias("first"))
     named = cut(placed.join(groups, "component").select(*key, "first"))
     # Rows without a set meet nothing; their number spreads them.
     own = F.struct(F.lit(False).alias("no"), "doc_id", "row")
-    keyed = rows.drop("low").withColumn("d1", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.col("row")))
+    keyed = rows.withColumn("d1", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.col("row")))
     return keyed.join(named, key, "left").withColumn("first", F.coalesce("first", own)).select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")
     )
@@ -253,7 +258,7 @@ def overlap_components(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that are first of their component; columns stay."""
-    gone = overlap_components(docs).where("row <> first_row").select(F.col("row").alias("_gone"))
+    gone = listed(overlap_components(docs).where("row <> first_row").select(F.col("row").alias("_gone")))
     row = fresh(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     return numbered.join(gone, numbered[row] == gone["_gone"], "left_anti").drop(row)
