@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendspark.llm.frames import fresh, text_of
+from blendspark.llm.frames import fresh, listed, text_of
 from blendspark.operators.lineage import cut
 
 PREFIX_CHARS = 256
@@ -73,7 +73,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     The decisions are keyed by row number, so docs must read in the same order each
     time (files do).
     """
-    gone = duplicate_groups(docs).where("not kept").select(F.col("row_id").alias("_gone"))
+    gone = listed(duplicate_groups(docs).where("not kept").select(F.col("row_id").alias("_gone")))
     row = fresh(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     return numbered.join(gone, numbered[row] == gone["_gone"], "left_anti").drop(row)

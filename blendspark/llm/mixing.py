@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendspark.llm.frames import fresh, ranges_for, text_of
+from blendspark.llm.frames import fresh, listed, ranges_for, text_of
 from blendspark.operators.lineage import cut, dense_index, prefix_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The rows of docs, each as often as the plan takes it; columns stay.  docs must
     read in the same order each time (files do)."""
     row = fresh(docs, "_row")
-    taken = plan(docs, weights).where("copies > 0").select(F.col("row_id").alias("_taken"), "copies")
+    taken = listed(plan(docs, weights).where("copies > 0").select(F.col("row_id").alias("_taken"), "copies"))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     times = fresh(numbered, "_times")
     joined = numbered.join(taken.withColumnRenamed("copies", times), numbered[row] == F.col("_taken"))
