@@ -8,10 +8,12 @@ similarity of 0.8.
 
 1. ``SIEVE`` least shingle hashes are taken of each paragraph.  Those of one document
    are mostly the same, so few rows are counted; a paragraph none of whose values occurs
-   in another document has no partner (at 0.8 all three miss with odds of 0.8 %).
+   in another document is taken to have no partner (equal ones never miss, at 0.9 one in
+   a hundred does, at 0.8 one in 25).
 2. The others get ``bands()`` bands of ``ROWS`` least hashes.  Equal sets are one class,
    and classes whose bands collide are verified exactly and joined to components, by
-   hubs first and then between components (as in the Jaccard join).
+   hubs first and then between components (as in the Jaccard join).  Only the sets of
+   colliding classes are built.
 3. Of a component that spans documents the first document keeps its paragraphs; those
    of the others are removed, overlapping ones as one span.
 """
@@ -27,15 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendspark.llm import words
-from blendspark.llm.components import components
-from blendspark.llm.frames import fresh, text_of
-from blendspark.llm.overlap import MANY, OF, SIGNATURE, WORDS, cross_pairs, hub_pairs, linked, signature
+from blendspark.llm.frames import MOST_BROADCAST, fresh, release, text_of
+from blendspark.llm.overlap import MANY, MARKS, OF, WORDS, joined_up, marks_of, tiles_of
 from blendspark.operators.lineage import cut
 
 WINDOW = 50
-SIEVE = 3
-ROWS = 3
-RECALL = 0.99
+SIEVE = 2
+#: Many rows: paragraphs that share just a common line have a similarity of a tenth, and
+#: thousands of them must not collide.
+ROWS = 6
+RECALL = 0.97
 
 
 def bands(rows: int = ROWS, similarity: float = MANY / OF, recall: float = RECALL) -> int:
@@ -120,9 +123,8 @@ def shared_values(sieved: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The paragraphs that passed the sieve: row, doc_id, start, stop (code points), d1, d2
-    (digest of the set), n, keys (its bands), g (signature), hashes."""
-    names = ["row", "doc_id", "start", "stop", "d1", "d2", "n", "keys", "g", "hashes"]
+    """The paragraphs that passed the sieve: row, doc_id, start, stop (code points), d1,
+    d2 (digest of the set), keys (its bands)."""
     many = bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,27 +147,57 @@ def paragraphs(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     for r in range(ROWS):
                         key = words.mix(key * np.uint64(31) + s.least(SIEVE + band * ROWS + r, keep))
                     keys.append(key)
-                sets = [s.set_of(i) for i in keep]
-                spread = [words.mix(x + np.uint64(1)) for x in sets]
-                last = s.first[keep] + WINDOW - 1
-                base_char = chars[offsets[s.row[keep]]]
-                columns = [
-                    batch.column("row").take(pa.array(base + s.row[keep])), batch.column("doc_id").take(pa.array(base + s.row[keep])),
-                    pa.array(chars[s.start[s.first[keep]]] - base_char), pa.array(chars[s.end[last]] - base_char),
-                    pa.array(np.array([x.sum(dtype=np.uint64) for x in spread]).view(np.int64)),
-                    pa.array(np.array([words.mix(x ^ np.uint64(0x5555)).sum(dtype=np.uint64) for x in spread]).view(np.int64)),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(list(np.stack(keys, axis=1).view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([signature(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                spread = [words.mix(s.set_of(i) + np.uint64(1)) for i in keep]
+                first, base_char = s.first[keep], chars[offsets[s.row[keep]]]
+                rows = pa.array(base + s.row[keep])
+                flat = pa.array(np.stack(keys, axis=1).view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").take(rows), batch.column("doc_id").take(rows),
+                        pa.array(chars[s.start[first]] - base_char), pa.array(chars[s.end[first + WINDOW - 1]] - base_char),
+                        pa.array(np.array([x.sum(dtype=np.uint64) for x in spread]).view(np.int64)),
+                        pa.array(np.array([words.mix(x ^ np.uint64(0x5555)).sum(dtype=np.uint64) for x in spread]).view(np.int64)),
+                        pa.ListArray.from_arrays(np.arange(len(keep) + 1, dtype=np.int32) * many, flat),
+                    ],
+                    ["row", "doc_id", "start", "stop", "d1", "d2", "keys"],
+                )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of(docs).alias("text"))
     return rows.join(shared, "row").mapInArrow(
-        run, "row long, doc_id long, start long, stop long, d1 long, d2 long, n long, keys array<long>, g array<long>, hashes array<long>"
+        run, "row long, doc_id long, start long, stop long, d1 long, d2 long, keys array<long>"
     )
 
 
+def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """node, n, hashes and signature of the paragraphs at places (node, row, start)."""
+    found = places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "node"))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, offsets in words.slices(batch.column("text")):
+                s = _Slice(data, offsets)
+                chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                begins = chars[s.start[s.first]] - chars[offsets[s.row]]
+                nodes, sets = [], []
+                for i in range(len(offsets) - 1):
+                    a, b = np.searchsorted(s.row, (i, i + 1))
+                    for place in batch.column("at")[base + i].as_py():
+                        nodes.append(place["node"])
+                        sets.append(s.set_of(a + int(np.searchsorted(begins[a:b], place["start"]))))
+                if nodes:
+                    ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists, *marks_of(sets)], ["node", "n", "hashes", *MARKS]
+                    )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_of(docs).alias("text"))
+    found = cut(found)
+    release(docs.sparkSession)
+    wanted = F.broadcast(found) if places.count() <= MOST_BROADCAST // 4 else found
+    return rows.join(wanted, "row").mapInArrow(run, "node long, n long, hashes array<long>, " + ", ".join(f"{g} long" for g in MARKS))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, anything else.  One row per span to remove: row, doc_id, start,
     stop (code points), kept_doc_id (a document that keeps the passage, the least of
@@ -177,27 +209,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     order each time (files do).
     """
     found = paragraphs(docs, shared_values(cut(sieve_rows(docs))))
-    found = cut(found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")))
-    key = ["n", "d1", "d2"]
-    first = F.min(F.struct("place", "start"))
-    # The least place of a class stands for it; only classes are compared.
+    found = cut(found)
+    release(docs.sparkSession)
+    found = found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
+    key = ["d1", "d2"]
+    # Equal sets have equal keys.  The least place of a class stands for it.
     classes = cut(
-        found.groupBy(*key).agg(first.alias("first"), F.max("place").alias("last"))
-        .withColumn("node", F.xxhash64(*key))
+        found.groupBy(*key).agg(
+            F.min(F.struct("place", "start")).alias("first"), F.max("place").alias("last"), F.any_value("keys").alias("keys")
+        ).withColumn("node", F.xxhash64(*key))
     )
-    stands = found.join(classes.select(*key, "first", "node"), key).where(F.col("first") == F.struct("place", "start"))
-    stands = cut(stands.dropDuplicates(["node"]).select("node", "n", "keys", "g", "hashes"))
-    keyed = stands.select("node", F.explode("keys").alias("s"))
+    keyed = classes.select("node", F.explode("keys").alias("s"))
     colliding = keyed.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
-    parts = [F.get("g", F.lit(i)).alias(f"g{i}") for i in range(SIGNATURE)]
-    # All are of one size, but for those that repeat themselves: the size band stands aside.
-    band = F.floor(F.log("n") / F.log(F.lit(OF / MANY))).cast("int").alias("band")
-    tiles = cut(keyed.join(colliding, "s", "left_semi").join(stands.select("node", "n", band, *parts), "node"))
-    sets = stands.select("node", "hashes")
-    links = cut(linked(hub_pairs(tiles), sets))
-    joined = components(links)
-    more = cut(linked(cross_pairs(tiles, joined), sets))
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    keyed = cut(keyed.join(colliding, "s", "left_semi"))
+    places = classes.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "first.place.row", "first.start")
+    places = cut(places)
+    release(docs.sparkSession)
+    sets = cut(sets_of(docs, places))
+    joined = joined_up(cut(tiles_of(keyed, sets)), sets)
     placed = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = placed.groupBy("component").agg(F.min("first.place").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     gone = cut(placed.join(groups, "component").select(*key, "keeper"))
