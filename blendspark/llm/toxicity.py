@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendspark.llm import words
-from blendspark.llm.frames import text_of
+from blendspark.llm.frames import listed, text_of
 from blendspark.llm.labels import training_labels
 from blendspark.llm.packing import curve_keys
 
@@ -20,9 +20,14 @@ from blendspark.llm.packing import curve_keys
 PER_CLASS, LONGEST = 2000, 32_000
 #: Terms are words and their first bytes.
 PREFIXES = (4, 5)
-#: A term is used if so many examples hold it, and at most this share of all documents.
-LEAST_EXAMPLES, MOST_DOCS = 3, 0.06
+#: A term is used if so many examples hold it.
+LEAST_EXAMPLES = 3
+#: Terms that more than this share of the examples hold are kept as full rows of a matrix
+#: and multiplied for many texts at once; their postings would be nearly as long.
+OFTEN, AT_ONCE = 0.125, 256
 NEIGHBOURS = 80
+#: Power of the inverse document frequency: how steeply frequent terms weigh less.
+STEEPNESS = 3
 #: Rows of a block.  Examples lie in order of the packing curve, so that those of one
 #: language or topic share blocks and the bounds tell blocks apart.
 BLOCK = 256
@@ -66,7 +71,8 @@ class Index:
 
     ``run_of[t]:run_of[t + 1]`` are the runs of term t; run r lies in block
     ``run_block[r]``, has postings ``post_of[r]:post_of[r + 1]`` and at most the weight
-    ``run_max[r]``."""
+    ``run_max[r]``.  Frequent terms have no runs: ``often[t]`` is their row of ``full``
+    (examples in columns), -1 for all others."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
@@ -78,6 +84,8 @@ class Index:
     post_of: np.ndarray
     post_row: np.ndarray
     post_weight: np.ndarray
+    often: np.ndarray
+    full: np.ndarray
     share: float
     slope: float = 1.0
     base: float = 0.0
@@ -88,23 +96,42 @@ class Index:
         term, w = term[w > 0], w[w > 0]
         return term, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The part of the cosines that frequent terms make: a row for each of the texts
+        (term, w), a column for each example."""
+        held = np.zeros((len(texts), len(self.full)))
+        for i, (term, w) in enumerate(texts):
+            at = self.often[term]
+            held[i, at[at >= 0]] = w[at >= 0]
+        return held @ self.full
+
+    def nearest(
+        self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1, frequent: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples, ties by row; only examples that
         share a term.  The blocks of highest bound are scored first; what cannot
-        reach the k-th best of them is skipped."""
+        reach the k-th best of them is skipped.  ``frequent``: the text's row of
+        ``frequent()``, where it is known.  Cosines are rounded to twelve places, as sums
+        in another order must not part equal examples."""
+        if not len(self.labels):
+            return np.zeros(0, np.int64), np.zeros(0)
+        if frequent is None:
+            frequent = self.frequent([(term, w)])[0]
         runs = self.run_of[term + 1] - self.run_of[term]
         run = _ranges(self.run_of[term], runs)
         by_run = np.repeat(w, runs)
         blocks = -(-len(self.labels) // BLOCK)
-        bound = np.bincount(self.run_block[run], self.run_max[run] * by_run, blocks)
+        bound = np.maximum.reduceat(frequent, np.arange(0, len(self.labels), BLOCK))
+        bound = bound + np.bincount(self.run_block[run], self.run_max[run] * by_run, blocks)
         best_first = np.argsort(-bound, kind="stable")
         first = best_first[:max(1, -(-3 * k // BLOCK))]
-        scores = self._scores(run, by_run, first, blocks)
+        scores = self._scores(run, by_run, first, blocks, frequent)
         least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
         rest = best_first[len(first):]
-        rest = rest[bound[rest] >= least - 1e-12]
+        rest = rest[bound[rest] >= least - 1e-11]
         if least <= 0 or len(rest):
-            scores += self._scores(run, by_run, rest[bound[rest] > 0], blocks)
+            scores += self._scores(run, by_run, rest[bound[rest] > 0], blocks, frequent)
+        scores = np.round(scores, 12)
         if skip >= 0:
             scores[skip] = 0
         rows = np.flatnonzero(scores > 0)
@@ -115,7 +142,7 @@ class Index:
         rows = rows[np.lexsort((rows, -scores[rows]))]
         return rows, scores[rows]
 
-    def _scores(self, run: np.ndarray, by_run: np.ndarray, chosen: np.ndarray, blocks: int) -> np.ndarray:
+    def _scores(self, run: np.ndarray, by_run: np.ndarray, chosen: np.ndarray, blocks: int, frequent: np.ndarray) -> np.ndarray:
         """Exact cosines of the rows in the chosen blocks, 0 elsewhere."""
         wanted = np.zeros(blocks, dtype=bool)
         wanted[chosen] = True
@@ -123,7 +150,8 @@ class Index:
         run, by_run = run[keep], by_run[keep]
         n = self.post_of[run + 1] - self.post_of[run]
         post = _ranges(self.post_of[run], n)
-        return np.bincount(self.post_row[post], self.post_weight[post] * np.repeat(by_run, n), len(self.labels))
+        scores = np.bincount(self.post_row[post], self.post_weight[post] * np.repeat(by_run, n), len(self.labels))
+        return scores + np.where(np.repeat(wanted, BLOCK)[:len(scores)], frequent, 0)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic labels among neighbours, by squared cosine."""
@@ -151,6 +179,11 @@ def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.n
     norm = np.sqrt(np.bincount(row, w * w, len(ids)))
     w = w / np.maximum(norm, 1e-12)[row]
     row, term, w = row[w > 0], term[w > 0], w[w > 0]
+    many = np.bincount(term, minlength=len(idf)) > OFTEN * len(ids)
+    often = np.where(many, np.cumsum(many) - 1, -1)
+    full = np.zeros((int(many.sum()), len(ids)))
+    full[often[term[many[term]]], row[many[term]]] = w[many[term]]
+    row, term, w = row[~many[term]], term[~many[term]], w[~many[term]]
     order = np.lexsort((row, term))
     row, term, w = row[order], term[order], w[order]
     group = term * (len(ids) // BLOCK + 1) + row // BLOCK
@@ -159,13 +192,11 @@ def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.n
         vocabulary, idf, labels, ids,
         run_of=np.searchsorted(term[first], np.arange(len(idf) + 1)), run_block=row[first] // BLOCK,
         run_max=np.maximum.reduceat(w, first) if len(first) else w, post_of=np.append(first, len(row)),
-        post_row=row, post_weight=w, share=share,
+        post_row=row, post_weight=w, often=often, full=full, share=share,
     )
     at = np.searchsorted(counts[0], np.arange(len(ids) + 1))
-    votes = np.array([
-        index.vote(*index.nearest(*index.weights(counts[1][a:b], counts[2][a:b]), skip=i))
-        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))
-    ])
+    every = [index.weights(counts[1][a:b], counts[2][a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    votes = np.array([index.vote(*found) for found in _found(index, every, itself=True)])
     if 0 < labels.sum() < len(labels):
         weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
         index.slope, index.base = _logistic(votes, labels, weight)
@@ -174,6 +205,15 @@ def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.n
     return index
 
 
+def _found(index: Index, texts: list[tuple[np.ndarray, np.ndarray]], itself: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The nearest examples of each of the texts (term, w); ``itself``: the texts are the
+    examples, which do not find themselves."""
+    for first in range(0, len(texts), AT_ONCE):
+        some = texts[first:first + AT_ONCE]
+        for i, ((term, w), frequent) in enumerate(zip(some, index.frequent(some), strict=True)):
+            yield index.nearest(term, w, skip=first + i if itself else -1, frequent=frequent)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and base of the weighted logistic fit, a little ridge on the slope."""
     a = np.stack([x, np.ones_like(x)], axis=1)
@@ -191,8 +231,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
     """The index of up to ``PER_CLASS`` examples of each class (those of lowest hash of
-    doc_id, texts up to ``LONGEST`` bytes) from the training fold.  How many documents
-    hold a term is counted over all documents."""
+    doc_id, texts up to ``LONGEST`` bytes) from the training fold.
+
+    A term weighs by how many of the documents that are labelled as clean hold it (all of
+    them, not the examples alone), and always more than 0.  So a large group of toxic
+    copies does not make its own terms common."""
     known = training_labels(labels, column)
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     share = total.toxic / total.n if total.n else 0.0
@@ -216,8 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
         hashes.append(h[new])
     every, held = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     vocabulary = Vocabulary(every[held >= LEAST_EXAMPLES])
-    df, n_docs = document_counts(docs, vocabulary)
-    idf = np.where(df <= max(MOST_DOCS * n_docs, LEAST_EXAMPLES), np.log((n_docs + 1) / (df + 1)), 0.0)
+    clean = listed(known.where("y = 0").select("doc_id"))
+    df, n_docs = document_counts(docs.join(clean, "doc_id", "left_semi"), vocabulary)
+    idf = np.log((n_docs + 2) / (df + 1)) ** STEEPNESS
     parts = []
     for first, data, offsets in words.slices(texts):
         row, term, count = vocabulary.counts(data, offsets)
@@ -251,8 +295,8 @@ def _votes(index: Index, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, n
     for _, data, offsets in words.slices(texts):
         row, term, count = index.vocabulary.counts(data, offsets)
         at = np.searchsorted(row, np.arange(len(offsets)))
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            rows, cosines = index.nearest(*index.weights(term[a:b], count[a:b]))
+        weighed = [index.weights(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for rows, cosines in _found(index, weighed):
             yield index.vote(rows, cosines), rows, cosines
 
 

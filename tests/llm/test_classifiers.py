@@ -104,3 +104,36 @@ def test_density_against_formula():
     model = quality.Model(np.zeros(d), np.ones(d), np.zeros((2, d)), np.stack([np.eye(d), np.linalg.inv(low)]), np.array([0.0, -np.log(np.diag(low)).sum()]))
     want = [-0.5 * v @ np.linalg.inv(cov) @ v - 0.5 * np.linalg.slogdet(cov)[1] + 0.5 * v @ v for v in x]
     np.testing.assert_allclose(model.log_odds(x), want, rtol=1e-8)
+
+
+@needs_data
+def test_toxic_copies_of_a_third_of_all_rows(spark):
+    """A group of near copies that holds a third of the rows keeps its terms' weight."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    marks = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
+    first, n = docs.agg({"doc_id": "max"}).first()[0] + 1, docs.count() // 2
+    insult = " ".join(f"grubworm{chr(97 + i)} vilefool{chr(97 + i)}" for i in range(20))
+    copies = [(first + i, f"{insult} number{i % 7}") for i in range(n)]
+    # Every tenth copy is labelled.
+    known = spark.createDataFrame([(d, 1) for d, _ in copies[::10]], "doc_id long, toxic int")
+    both = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    index = toxicity.fit(both, marks.unionByName(known.select("doc_id", "toxic")))
+    assert (index.idf > 0).all()
+    scored = {r.doc_id: r.score for r in toxicity.score(both, index).where(f"doc_id >= {first}").collect()}
+    assert len(scored) == n and min(scored.values()) > 0.5
+    assert toxicity.keep_clean(both, index).where(f"doc_id >= {first}").count() == 0
+
+
+def test_frequent_terms_leave_the_search_exact():
+    index, unit, dense = random_index(n=600, terms=60)
+    rng = np.random.default_rng(6)
+    held = rng.random((600, 60)) < 0.4
+    row, term = np.nonzero(held)
+    index = toxicity.build(np.arange(600), np.arange(600) % 2, index.vocabulary, index.idf + 0.01, (row, term, np.ones(len(row))), 0.3)
+    assert len(index.full) == 60
+    unit = held * index.idf
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+    for i in range(40):
+        term = np.flatnonzero(held[i])
+        _, cosines = index.nearest(*index.weights(term, np.ones(len(term))), k=20)
+        np.testing.assert_allclose(cosines, np.sort(unit @ unit[i])[::-1][:20], atol=1e-9)
