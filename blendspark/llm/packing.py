@@ -19,6 +19,8 @@ from blendspark.llm.frames import SAMPLES_PER_RANGE, range_of, ranges_for, text_
 LENGTH = 2048
 #: The token after each document.
 END_ID = 1
+#: The added tokens of the vocabulary file, which its rank file lacks.
+ADDED = {"<|endoftext|>": 50256}
 #: Size of the hashed vectors, dimensions they are projected to, bits of each.
 HASHED, DIMENSIONS, BITS = 1024, 4, 8
 #: Ranges are dealt to partitions by a hash; a few for each make these alike in size.
@@ -41,13 +43,14 @@ def _encoding(path: str | None):
 
     with open(path or default_vocabulary(), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
-def token_ids(text: str, path: str | None = None) -> np.ndarray:
-    """The ids of a text, with the end id behind them.  Strings of special tokens are
-    ordinary text."""
-    ids = _encoding(path).encode_ordinary(text)
+def token_ids(text: str, path: str | None = None, added: bool = False) -> np.ndarray:
+    """The ids of a text, with the end id behind them.  ``added``: strings of added tokens
+    get their one id, as the vocabulary file says; otherwise they are ordinary text."""
+    encoding = _encoding(path)
+    ids = encoding.encode(text, allowed_special="all") if added else encoding.encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -178,14 +181,15 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
     """docs: doc_id, text, anything else.  One row per piece of a document: doc_id,
     start and length (in its ids), ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents follow each other along the curve and are cut freely, so that all
     sequences are full but what a partition has left, which is cut into powers of
     two: nothing is padded.  A null or empty text is its end id alone; rows that
-    repeat are packed as often; an empty table gives no rows.
+    repeat are packed as often; an empty table gives no rows.  ``added`` as in
+    ``token_ids``; the query and the pipeline ask for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
             for i in range(len(texts)):
-                packer.add(doc_ids[i].as_py(), token_ids(texts[i].as_py(), path))
+                packer.add(doc_ids[i].as_py(), token_ids(texts[i].as_py(), path, added))
                 if len(packer.out) >= 20_000:
                     yield packer.batch()
         packer.finish()

@@ -123,7 +123,7 @@ def op3_source_mix(spark, sf_dir):
 
 @query("op2_hilbert_packing")
 def op2_hilbert_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 @query("op9_toxicity")

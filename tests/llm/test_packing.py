@@ -64,3 +64,28 @@ def test_curve_visits_neighbours(dimensions, bits):
     assert sorted(keys) == list(range(len(points)))
     walked = points[np.argsort(keys)]
     assert (np.abs(np.diff(walked, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_query_has_the_ids_of_the_unchanged_vocabulary(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from blendspark.llm.queries import QUERIES
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y\n<|endoftext|>\n", "<|endoftext|", "é <|ENDOFTEXT|> don't", "  <|endoftext|>'s", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (QUERIES["op2_hilbert_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        by_doc = defaultdict(list)
+        for r in got.collect():
+            by_doc[r.doc_id].append(r)
+        for d, text in enumerate(texts):
+            ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+            at = 0
+            for r in sorted(by_doc[d], key=lambda r: r.start):
+                part = np.array(ids[at:at + r.length], dtype="<u4")
+                assert (r.start, r.ids_crc32, r.doc_tokens) == (at, zlib.crc32(part.tobytes()), len(ids))
+                at += r.length
+            assert at == len(ids)
