@@ -221,7 +221,8 @@ def edit_distance_pairs(bags: DataFrame, max_distance: int | None = None, pairs:
 
 
 def hamming_pairs(bags: DataFrame, max_columns: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """(id1, id2, d): share of all columns in which two item sets differ."""
+    """(id1, id2, d): share of all columns in which two item sets differ; up to a bound,
+    only of sets that share an item."""
     columns = bags.where("w > 0").select(F.countDistinct("ingredient_id").alias("m")).first()["m"]
     out = edit_distance_pairs(bags, max_columns, pairs)
     return out.select("id1", "id2", (F.col("d") / F.lit(float(max(columns, 1)))).alias("d"))
