@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blendspark.llm import chat, exact, mixing, overlap, packing, paragraphs, quality, secrets, sketch, toxicity
+from blendspark.llm import chat, exact, leaks, manifest, mixing, negatives, overlap, packing, paragraphs, quality, secrets, sketch, toxicity
 from blendspark.llm.frames import table, text_of
 from blendspark.llm.labels import with_fold
 from blendspark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -147,3 +147,106 @@ def op7_ngram_jaccard(spark, sf_dir):
 @query("op5_paragraph_minhash")
 def op5_paragraph_minhash(spark, sf_dir):
     return paragraphs.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op11_hard_negatives", """
+    with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                      list_transform(embedding, lambda x: floor(256 * x::double)) as v
+               from embeddings where vec_id is not null and label is not null and embedding is not null
+               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+          from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    p as (select * from s where same qualify row_number() over (partition by anchor order by score desc, id) <= 5)
+    select p.anchor as anchor_id, p.id as positive_id, row_number() over w as rank, s.id as negative_id,
+           p.score as positive_score, s.score as negative_score
+    from p join s on p.anchor = s.anchor and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
+    window w as (partition by p.anchor, p.id order by s.score desc, s.id) qualify row_number() over w <= 5
+""")
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = vectors["label"].cast("long")
+    label = F.when(vectors["vec_id"] % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(negatives.usable(vectors, label), F.col("vec_id") % 100 == 0)
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """The levels of both trees one by one; a lone node passes as it is."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(octet_length(encode({v}))::varchar || ':' || {v}, '-')" for v in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def climb(name: str, depth: int) -> str:
+        steps = [
+            f"{name}{k + 1} as (select g, i // 8 as i, (n + 7) // 8 as n, case when n = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h "
+            f"from {name}{k} group by g, i // 8, n)" for k in range(depth)
+        ]
+        kids = [f"{name}k{k} as (select g, i // 8 as i, n, list(h order by i) as c from {name}{k} group by g, i // 8, n)" for k in range(depth)]
+        return ", ".join(steps + kids)
+
+    def fold(source: str, name: str, depth: int, group: str, place: str) -> tuple[str, str]:
+        """Each leaf carries its hash (f), its siblings so far (s) and its place (i)."""
+        out, before = [], source
+        for k in range(depth):
+            left, right = "array_to_string(c[:(p.{0} // {1}) % 8], '')".format(place, 8**k), "array_to_string(c[(p.{0} // {1}) % 8 + 2:], '')".format(place, 8**k)
+            out.append(
+                f"{source}{name}{k} as (select p.* exclude (f, s), case when k.n = 1 then f else sha256({left} || f || {right}) end as f, "
+                f"case when k.n = 1 then s else s || {left} || {right} end as s from {before} p join {name}k{k} k on k.g = p.{group} and k.i = p.{place} // {8 ** (k + 1)})"
+            )
+            before = f"{source}{name}{k}"
+        return ", ".join(out), before
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "(select crc from crcs where id is not distinct from d.doc_id)"
+    lower, last = fold("leaf", "t", levels, "g", "i")
+    upper, top = fold(last, "r", levels, "zero", "g")
+    return f"""
+    with recursive poly as (select n::ubigint as n, n::ubigint as c, 0 as k from range(256) x(n)
+        union all select n, case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end, k + 1 from poly where k < 8),
+    crctable as (select list(c order by n) as t from poly where k = 8),
+    digits as (select doc_id as id, list_transform(range(1, length(doc_id::varchar) + 1), lambda j: ascii(substr(doc_id::varchar, j, 1))) as b from (select distinct doc_id from documents)),
+    crcs as (select id, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(b, lambda x: x::ubigint)),
+        lambda c, x: xor(c // 256, t[xor(c % 256, x)::bigint + 1])), 4294967295::ubigint) as crc from digits, crctable),
+    d as (select *, {leaf('text')} as leaf, {leaf(low)} as low from documents),
+    o as (select d.*, case when {crc} % 3 = 0 then low else leaf end as given,
+                 dense_rank() over (order by lang is not null, encode(lang)) - 1 as g,
+                 row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+    t0 as (select g, i, n, leaf as h from o), {climb('t', levels)},
+    r0 as (select 0 as g, g as i, count(*) over () as n, h from t{levels}), {climb('r', levels)},
+    leaf as (select doc_id, leaf, g, i, 0 as zero, given as f, '' as s from o),
+    {lower}, {upper}
+    select doc_id, leaf, t{levels}.h as subroot, r{levels}.h as root, sha256(s) as proof_sha256, f as folded_root, f = r{levels}.h as verified
+    from {top} x join t{levels} on t{levels}.g = x.g, r{levels}"""
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0, manifest.small_letters(docs["text"])).otherwise(docs["text"])
+    proofs = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": text})
+    rows = proofs.withColumns({"proof_sha256": manifest.proof_hash(F.col("path")), "folded_root": manifest.folded(F.col("changed_leaf"), F.col("path"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_winnowed_leaks", r"""
+    with low as (select doc_id, row_number() over () as row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    d as (select doc_id, row, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from low),
+    b as (select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    i as (select distinct item_id, m, array_to_string(w[j:j + m - 1], ' ') as x from
+          (select *, unnest(range(1, len(w) - m + 2)) as j from (select *, least(10, len(w)) as m from b where len(w) > 0))),
+    o as (select row, m, j, array_to_string(w[j:j + m - 1], ' ') as x from
+          (select row, w, m, unnest(range(1, len(w) - m + 2)) as j from d, (select distinct m from i) where len(w) >= m)),
+    f as (select row, m, j, x from o where x in (select x from i)),
+    h as (select row, count(distinct k) as n_hit from (select row, unnest(range(j, j + m)) as k from f) group by row),
+    n as (select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from
+          (select distinct row, item_id from f join i using (x) where item_id is not null) group by row)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join h using (row) left join n using (row)
+""")
+def op13_winnowed_leaks(spark, sf_dir):
+    found = leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
