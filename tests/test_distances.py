@@ -159,14 +159,12 @@ def test_edit_counts_and_edges(spark):
 def test_knn_with_many_copies(spark):
     recipes = random_recipes(5)
     bags, members = B.collapse_copies(matrix_of(spark, recipes))
-    pairs = B.manhattan_pairs(bags, 1.2).withColumn("d", F.round("d", 9))
     got = {}
-    for r in N.knn_recipes(pairs, members, 4).collect():
-        got.setdefault(r["id"], {})[r["rank"]] = (r["d"], r["neighbour"])
+    for r in N.nearest_recipes(bags, members, 4).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (round(r["d"], 6), r["neighbour"])
     for r in recipes:
-        near = sorted((round(manhattan(recipes[r], recipes[q]), 9), q) for q in recipes if q != r)
-        near = [x for x in near if x[0] <= 1.2][:4]
-        assert got.get(r, {}) == {i + 1: x for i, x in enumerate(near)}
+        near = sorted((round(manhattan(recipes[r], recipes[q]), 6), q) for q in recipes if q != r)[:4]
+        assert got[r] == {i + 1: x for i, x in enumerate(near)}
 
 
 def test_tree_distances(spark, tree):

@@ -88,15 +88,24 @@ def test_fit_with_dummy(spark, toy):
 
 
 def test_kmedoids_finds_clear_groups(spark):
-    points = [0.0, 0.1, 0.2, 5.0, 5.1, 5.2, 9.0, 9.1]
-    pairs = [(i, j, abs(points[i] - points[j])) for i in range(8) for j in range(i + 1, 8) if abs(points[i] - points[j]) < 2]
-    items = spark.createDataFrame([(i,) for i in range(8)], "id long")
-    got = CL.kmedoids(items, spark.createDataFrame(pairs, "id1 long, id2 long, d double"), k=3, far=10.0)
-    groups = {}
-    for r in got.collect():
-        groups.setdefault(r["cluster"], set()).add(r["id"])
+    """Three groups on items of their own, the first with a crowd of copies in one bag."""
+    share = {0: (0, 0.9), 1: (0, 0.8), 2: (0, 0.7), 3: (2, 0.6), 4: (2, 0.5), 5: (2, 0.4), 6: (4, 0.9), 7: (4, 0.8)}
+    cells = [(r, i + k, x) for r, (i, w) in share.items() for k, x in enumerate((w, 1 - w))]
+    bags = spark.createDataFrame(cells, "recipe_id long, ingredient_id long, w double")
+    crowd = {r: 10 if r == 0 else 1 for r in share}
+    copies = spark.createDataFrame(list(crowd.items()), "bag_id long, copies long")
+    got = CL.kmedoids(bags, copies, k=3)
+    rows, groups = got.collect(), {}
+    for r in rows:
+        groups.setdefault((r["cluster"], r["medoid"]), set()).add(r["id"])
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3, 4, 5], [6, 7]]
-    assert sum(r["d"] for r in got.collect()) == pytest.approx(0.5)
+
+    def total(medoid, group):  # Manhattan distance of two such bags is twice the shift
+        return sum(crowd[r] * 2 * abs(share[r][1] - share[medoid][1]) for r in group)
+
+    for (_, medoid), group in groups.items():
+        assert total(medoid, group) == pytest.approx(min(total(m, group) for m in group))
+    assert all(r["d"] == pytest.approx(2 * abs(share[r["id"]][1] - share[r["medoid"]][1])) for r in rows)
     assert sorted(r["n"] for r in CL.cluster_sizes(got).collect()) == [2, 3, 3]
 
 
