@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from blendspark.operators.lineage import cut
 
 SLACK = 1e-9
+#: Decimals of the weights by which equal bags are told.
+PLACES = 10
 
 
 def collapse_copies(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,13 +32,15 @@ def collapse_copies(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
     and (recipe_id, bag_id, copies) for every recipe.
 
     Contents are compared by two 64-bit digests that are combined without order,
-    so no bag is ever collected.  The matrix and the bags are read again and again
+    so no bag is ever collected.  Weights enter them with ``PLACES`` decimals: sums of
+    the same amounts in another order differ behind those.  The matrix and the bags are read again and again
     by what follows, so both are kept in the checkpoint folder.
     """
     matrix = cut(matrix)
+    weight = F.round(F.col("w").cast("double"), PLACES) + F.lit(0.0)  # no negative zero
     digests = matrix.groupBy("recipe_id").agg(
-        F.bit_xor(F.xxhash64(F.lit(1), "ingredient_id", "w")).alias("_x"),
-        F.bit_xor(F.xxhash64(F.lit(2), "ingredient_id", "w")).alias("_y"),
+        F.bit_xor(F.xxhash64(F.lit(1), "ingredient_id", weight)).alias("_x"),
+        F.bit_xor(F.xxhash64(F.lit(2), "ingredient_id", weight)).alias("_y"),
         F.count("*").alias("_n"),
     )
     groups = digests.groupBy("_x", "_y", "_n").agg(
@@ -55,47 +59,61 @@ def totals_of(bags: DataFrame) -> DataFrame:
     return bags.groupBy("recipe_id").agg(F.sum("w").alias("total"))
 
 
-def rare_items(bags: DataFrame, need: Callable[[Column], Column]) -> DataFrame:
-    """(recipe_id, ingredient_id, total, rest): the cells of each bag that can hold
-    the rarest shared item of a wanted pair; ``rest`` bounds the overlap from there on.
+#: Bags of an item that meet in one place; a more frequent item is split into tiles.
+TILE = 2048
 
-    Items are ordered by bands of frequency (powers of two), so that a bag is
-    summed up into at most 64 rows before it is looked at as a whole.
-    """
-    bands = bags.groupBy("ingredient_id").agg(
-        F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("band")
-    )
-    cells = bags.join(bands, "ingredient_id")
-    onwards = Window.partitionBy("recipe_id").orderBy(F.desc("band"))
-    everything = Window.partitionBy("recipe_id")
-    rests = (
-        cells.groupBy("recipe_id", "band")
-        .agg(F.sum("w").alias("_w"))
-        .withColumn("rest", F.sum("_w").over(onwards))
-        .withColumn("total", F.sum("_w").over(everything))
-        .where(F.col("rest") >= need(F.col("total")) - SLACK)
-        .select("recipe_id", "band", "rest", "total")
+
+def ranked_cells(bags: DataFrame) -> DataFrame:
+    """(recipe_id, ingredient_id, n, total, rest, items, weights): the cells with the number
+    of bags of their item, what the bag weighs from there on when its items are taken
+    rarest first (ties by id), and the whole bag in that order."""
+    uses = bags.groupBy("ingredient_id").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("recipe_id").orderBy("n", "ingredient_id")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return bags.join(uses, "ingredient_id").select(
+        "recipe_id", "ingredient_id", "n", F.sum("w").over(whole).alias("total"),
+        F.sum("w").over(own.rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
+        F.collect_list("ingredient_id").over(whole).alias("items"), F.collect_list("w").over(whole).alias("weights"),
     )
-    return cells.join(rests, ["recipe_id", "band"]).select("recipe_id", "ingredient_id", "total", "rest")
 
 
-def candidate_pairs(
+def meet(left: DataFrame, right: DataFrame, wanted: Column) -> DataFrame:
+    """(id1, id2, t1, t2, overlap) of the bags that meet on a cell of both sides and fit
+    ``wanted`` (a condition on id1, id2, t1, t2, r1, r2 and columns of the left side).
+
+    Bags come with their cells, so a pair is told at once whether this item is the first
+    that they share (any later one is passed over, so no pair is met twice), and how much
+    they overlap: nothing is joined again.  An item of more than ``TILE`` bags is dealt to
+    tiles of a block of the left and a block of the right."""
+    blocks = F.greatest(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("recipe_id"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+
+    def side(cells: DataFrame, k: int, own: str, other: str) -> DataFrame:
+        more = [c for c in cells.columns if c not in ("recipe_id", "ingredient_id", "n", "total", "rest", "items", "weights")]
+        return cells.select(
+            F.col("recipe_id").alias(f"id{k}"), "ingredient_id", F.col("total").alias(f"t{k}"), F.col("rest").alias(f"r{k}"),
+            F.col("items").alias(f"items{k}"), F.col("weights").alias(f"weights{k}"), *more, mine.alias(own), every.alias(other),
+        )
+
+    met = side(left, 1, "_a", "_b").join(side(right, 2, "_b", "_a"), ["ingredient_id", "_a", "_b"]).where(wanted)
+    shared = F.array_intersect("items1", "items2")
+    weight = lambda k, x: F.get(f"weights{k}", F.array_position(f"items{k}", x) - 1)
+    met = met.withColumn("_shared", shared).where(F.get("_shared", F.lit(0)) == F.col("ingredient_id"))
+    overlap = F.aggregate("_shared", F.lit(0.0), lambda s, x: s + F.least(weight(1, x), weight(2, x)).cast("double"))
+    return met.select("id1", "id2", "t1", "t2", overlap.alias("overlap"))
+
+
+def near_overlaps(
     bags: DataFrame,
     need: Callable[[Column], Column],
-    need_pair: Callable[[Column, Column], Column] | None = None,
+    need_pair: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """(id1, id2, t1, t2), id1 < id2: every pair whose overlap can reach what is needed."""
-    rare = rare_items(bags, need)
-    left = rare.select(
-        F.col("recipe_id").alias("id1"), "ingredient_id", F.col("total").alias("t1"), F.col("rest").alias("r1")
-    )
-    right = rare.select(
-        F.col("recipe_id").alias("id2"), "ingredient_id", F.col("total").alias("t2"), F.col("rest").alias("r2")
-    )
-    met = left.join(right, "ingredient_id").where("id1 < id2")
-    if need_pair is not None:
-        met = met.where(F.least("r1", "r2") >= need_pair(F.col("t1"), F.col("t2")) - SLACK)
-    return met.select("id1", "id2", "t1", "t2").distinct()
+    """(id1, id2, t1, t2, overlap), id1 < id2: every pair whose overlap can reach what is
+    needed.  Such bags share an item from where on both weigh that much."""
+    rare = cut(ranked_cells(bags).where(F.col("rest") >= need(F.col("total")) - SLACK))
+    reach = F.least("r1", "r2") >= need_pair(F.col("t1"), F.col("t2")) - SLACK
+    return meet(rare, rare, (F.col("id1") < F.col("id2")) & reach)
 
 
 def _shared(bags: DataFrame, pairs: DataFrame, *keys: str) -> DataFrame:
@@ -110,15 +128,6 @@ def _shared(bags: DataFrame, pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def near_overlaps(
-    bags: DataFrame,
-    need: Callable[[Column], Column],
-    need_pair: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """(id1, id2, t1, t2, overlap) of the candidate pairs."""
-    return _shared(bags, candidate_pairs(bags, need, need_pair), "t1", "t2")
-
-
 def pair_overlaps(bags: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same for given pairs; those that share nothing stay, with overlap 0."""
     shared = _shared(bags, pairs)
@@ -193,23 +202,70 @@ def jaccard_pairs(bags: DataFrame, max_distance: float | None = None, pairs: Dat
     return out if max_distance is None else out.where(F.col("d") <= max_distance + SLACK)
 
 
+#: Sets of up to so many items, and bounds up to so many edits, are joined on what is left
+#: when some items are taken away; others meet on their rare items.
+MOST_ITEMS, MOST_EDITS = 32, 3
+
+
+def _choices(items: Column, k: int) -> Column:
+    """All ways to take k of the items, in their order."""
+    if k == 0:
+        return F.array(F.slice(items, 1, 0))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(
+        _choices(F.slice(items, i + 2, F.size(items)), k - 1), lambda rest: F.concat(F.array(x), rest)
+    )))
+
+
+def _left_overs(sets: DataFrame, most: int) -> DataFrame:
+    """(recipe_id, n, x, y, kept, gone): every set with up to ``most`` items taken away and
+    at least one kept; x and y are digests of what is kept."""
+    digest = lambda k, item: F.xxhash64(F.lit(k), item)
+    whole = sets.groupBy("recipe_id").agg(
+        F.count("*").alias("n"), F.bit_xor(digest(1, "ingredient_id")).alias("_x"), F.bit_xor(digest(2, "ingredient_id")).alias("_y"),
+        F.array_sort(F.collect_list("ingredient_id")).alias("items"),
+    )
+    ways = F.concat(*(_choices(F.col("items"), k) for k in range(most + 1)))
+    rows = whole.select("recipe_id", "n", "_x", "_y", F.explode(ways).alias("gone")).withColumn("kept", F.col("n") - F.size("gone"))
+    less = lambda k, start: F.aggregate("gone", F.col(start), lambda h, g: h.bitwiseXOR(digest(k, g)))
+    return rows.where("kept > 0").select("recipe_id", "n", less(1, "_x").alias("x"), less(2, "_y").alias("y"), "kept", "gone")
+
+
+def _edited(sets: DataFrame, max_distance: int) -> DataFrame:
+    """(id1, id2, n1, n2, only1, only2): pairs of sets that share something and differ in up
+    to ``max_distance`` items, with the items that each has alone.
+
+    Both sets without their own items are the same set, so the pair meets on its digest,
+    and only there with nothing common among what was taken away: no pair is met twice.
+    """
+    rows = _left_overs(sets, max_distance)
+    left = rows.select(F.col("recipe_id").alias("id1"), F.col("n").alias("n1"), "x", "y", "kept", F.col("gone").alias("only1"))
+    right = rows.select(F.col("recipe_id").alias("id2"), F.col("n").alias("n2"), "x", "y", "kept", F.col("gone").alias("only2"))
+    met = left.join(right, ["x", "y", "kept"]).where("id1 < id2").where(F.size("only1") + F.size("only2") <= max_distance)
+    return met.where(~F.arrays_overlap("only1", "only2")).select("id1", "id2", "n1", "n2", "only1", "only2")
+
+
 def edit_distance_pairs(bags: DataFrame, max_distance: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(id1, id2, n1, n2, d): size of the symmetric difference of the item sets.
 
-    With a bound, pairs that share at least one item; two sets that share
-    nothing are ``n1 + n2`` apart and are counted, not listed.
+    With a bound, pairs that share at least one item; two sets that share nothing are
+    ``n1 + n2`` apart and are told by ``apart_classes``, one row a set and size.
     """
     sets = _as_sets(bags)
+    if pairs is None and max_distance is None:
+        raise ValueError("pass pairs or max_distance")
     if pairs is not None:
         overlaps = pair_overlaps(sets, pairs)
-    elif max_distance is not None:
+    else:
+        sizes = totals_of(sets)
+        short = max_distance <= MOST_EDITS
+        long = sizes.where(F.col("total") > (MOST_ITEMS - max_distance if short else 0))
         overlaps = near_overlaps(
-            sets,
+            sets.join(long.select("recipe_id"), "recipe_id", "left_semi"),
             lambda n: F.greatest(n - max_distance, F.lit(1.0)),
             lambda n1, n2: F.greatest((n1 + n2 - max_distance) / 2, F.lit(1.0)),
         )
-    else:
-        raise ValueError("pass pairs or max_distance")
+        if short:
+            overlaps = overlaps.where(F.greatest("t1", "t2") > MOST_ITEMS)
     out = overlaps.select(
         "id1",
         "id2",
@@ -217,12 +273,43 @@ def edit_distance_pairs(bags: DataFrame, max_distance: int | None = None, pairs:
         F.col("t2").cast("long").alias("n2"),
         (F.col("t1") + F.col("t2") - 2 * F.col("overlap")).cast("long").alias("d"),
     )
-    return out if max_distance is None else out.where(F.col("d") <= max_distance)
+    if max_distance is None:
+        return out
+    out = out.where(F.col("d") <= max_distance)
+    if not short:
+        return out
+    few = sets.join(sizes.where(F.col("total") <= MOST_ITEMS).select("recipe_id"), "recipe_id", "left_semi")
+    near = _edited(few, max_distance)
+    return near.select("id1", "id2", "n1", "n2", (F.size("only1") + F.size("only2")).cast("long").alias("d")).unionByName(out)
+
+
+def apart_classes(bags: DataFrame, max_distance: int) -> DataFrame:
+    """(recipe_id, n, partner_n, d, apart): for every set and partner size within the
+    bound, how many other sets of this size share nothing with it; those lie d = n +
+    partner_n apart.  The sets of a size are the members of the class, so pairs that
+    share nothing need no list of their own."""
+    sets = _as_sets(bags)
+    sizes = cut(totals_of(sets).where(F.col("total") < max_distance).select("recipe_id", F.col("total").cast("long").alias("n")))
+    small = sets.join(sizes.select("recipe_id"), "recipe_id", "left_semi")
+    near = edit_distance_pairs(small, max_distance).where(F.col("n1") + F.col("n2") <= max_distance)
+    sharing = (
+        near.select(F.col("id1").alias("recipe_id"), F.col("n2").alias("partner_n"))
+        .unionByName(near.select(F.col("id2").alias("recipe_id"), F.col("n1").alias("partner_n")))
+        .groupBy("recipe_id", "partner_n").agg(F.count("*").alias("_sharing"))
+    )
+    classes = sizes.groupBy(F.col("n").alias("partner_n")).agg(F.count("*").alias("_all"))
+    own = (F.col("n") == F.col("partner_n")).cast("long")
+    return (
+        sizes.withColumn("partner_n", F.explode(F.sequence(F.lit(1).cast("long"), max_distance - F.col("n"))))
+        .join(classes, "partner_n").join(sharing, ["recipe_id", "partner_n"], "left")
+        .select("recipe_id", "n", "partner_n", (F.col("n") + F.col("partner_n")).alias("d"), (F.col("_all") - own - F.coalesce("_sharing", F.lit(0))).alias("apart"))
+        .where("apart > 0")
+    )
 
 
 def hamming_pairs(bags: DataFrame, max_columns: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(id1, id2, d): share of all columns in which two item sets differ; up to a bound,
-    only of sets that share an item."""
+    of sets that share an item (the others: ``apart_classes``)."""
     columns = bags.where("w > 0").select(F.countDistinct("ingredient_id").alias("m")).first()["m"]
     out = edit_distance_pairs(bags, max_columns, pairs)
     return out.select("id1", "id2", (F.col("d") / F.lit(float(max(columns, 1)))).alias("d"))
@@ -276,11 +363,32 @@ def edit_distance_counts(bags: DataFrame, members: DataFrame, distance: int = 2)
     return members.join(per_bag, "bag_id").select("recipe_id", "n_pairs")
 
 
+def hamming_counts(bags: DataFrame, max_columns: int) -> DataFrame:
+    """(recipe_id, near): how many other sets differ in at most so many columns, whether
+    they share an item or not."""
+    sets = _as_sets(bags)
+    near = both_ways(edit_distance_pairs(sets, max_columns).select("id1", "id2", "d"))
+    counts = near.groupBy(F.col("id1").alias("recipe_id")).agg(F.count("*").alias("_near")).unionByName(
+        apart_classes(sets, max_columns).groupBy("recipe_id").agg(F.sum("apart").alias("_near"))
+    )
+    every = sets.select("recipe_id").distinct().withColumn("_near", F.lit(0).cast("long"))
+    return counts.unionByName(every).groupBy("recipe_id").agg(F.sum("_near").alias("near"))
+
+
 def one_swap_edges(bags: DataFrame, distance: int = 2) -> DataFrame:
     """(id1, id2, only1, only2): sharing pairs at exactly that distance with the
-    items each has alone.  Single-item sets are one swap apart by themselves."""
+    items each has alone.  Sets that share nothing: ``apart_classes``."""
     sets = _as_sets(bags)
-    edges = edit_distance_pairs(sets, distance).where(F.col("d") == distance).select("id1", "id2")
+    if distance <= MOST_EDITS:
+        sizes = totals_of(sets)
+        few = sets.join(sizes.where(F.col("total") <= MOST_ITEMS).select("recipe_id"), "recipe_id", "left_semi")
+        near = _edited(few, distance).where(F.size("only1") + F.size("only2") == distance).select("id1", "id2", "only1", "only2")
+        many = sizes.where(F.col("total") > MOST_ITEMS - distance).select("recipe_id", "total")
+        sets = sets.join(many.select("recipe_id"), "recipe_id", "left_semi")
+    edges = edit_distance_pairs(sets, distance).where(F.col("d") == distance)
+    if distance <= MOST_EDITS:
+        edges = edges.where(F.greatest("n1", "n2") > MOST_ITEMS)
+    edges = edges.select("id1", "id2")
     first = sets.select(F.col("recipe_id").alias("id1"), "ingredient_id", F.lit(1).alias("side"))
     second = sets.select(F.col("recipe_id").alias("id2"), "ingredient_id", F.lit(2).alias("side"))
     alone = (
@@ -291,10 +399,24 @@ def one_swap_edges(bags: DataFrame, distance: int = 2) -> DataFrame:
         .where("_n = 1")
     )
     # At most ``distance`` items per edge are gathered here.
-    return alone.groupBy("id1", "id2").agg(
+    listed = alone.groupBy("id1", "id2").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("ingredient_id")))).alias("only1"),
         F.array_sort(F.collect_list(F.when(F.col("side") == 2, F.col("ingredient_id")))).alias("only2"),
     )
+    return near.unionByName(listed) if distance <= MOST_EDITS else listed
+
+
+def named_swaps(edges: DataFrame, items: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(id1, id2, recipe_name1, recipe_name2, item_names): swap edges with the names of both
+    recipes and of the items that only one of them has, by id."""
+    differing = edges.select("id1", "id2", F.explode(F.concat("only1", "only2")).alias("ingredient_id"))
+    names = (
+        differing.join(items.select("ingredient_id", "ingredient_name"), "ingredient_id").groupBy("id1", "id2")
+        .agg(F.array_sort(F.collect_list(F.struct("ingredient_id", "ingredient_name"))).alias("_items"))
+    )
+    name = lambda k: recipes.select(F.col("recipe_id").alias(f"id{k}"), F.col("recipe_name").alias(f"recipe_name{k}"))
+    named = names.join(name(1), "id1").join(name(2), "id2")
+    return named.select("id1", "id2", "recipe_name1", "recipe_name2", F.transform("_items", lambda x: x["ingredient_name"]).alias("item_names"))
 
 
 def edits_from(bags: DataFrame, recipe_id: int, distance: int) -> DataFrame:

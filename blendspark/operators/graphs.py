@@ -7,7 +7,6 @@ kinds never meet.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +81,20 @@ def negative_edges(positives: DataFrame, known: DataFrame, seed: int = 42, draws
 
 
 def _adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edge number -> neighbour, node -> first edge number and degree).  Any
-    neighbour of any node is then one look-up by number, however many it has."""
-    numbered = dense_index(edges.select("src", "dst").distinct(), "src", "dst", name="edge")
-    numbered = cut(numbered)
+    """(edge number -> neighbour, its first edge number and degree), and the same of
+    every node.  Any neighbour of any node is then one look-up by number, however many it
+    has.  The look-up table is written dealt by its key, so that steps only move walks."""
+    numbered = cut(dense_index(edges.select("src", "dst").distinct(), "src", "dst", name="edge"))
     nodes = cut(numbered.groupBy("src").agg(F.min("edge").alias("first"), F.count("*").alias("degree")))
-    return numbered.select("edge", F.col("dst").alias("next")), nodes
+    ends = nodes.select(F.col("src").alias("dst"), F.col("first").alias("next_first"), F.col("degree").alias("next_degree"))
+    by_number = numbered.join(ends, "dst", "left").select("edge", F.col("dst").alias("next"), "next_first", "next_degree")
+    return _dealt(by_number, "edge"), nodes
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Written, dealt by the keys: a join on them leaves these rows where they are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(parts, *keys))
 
 
 def random_walks(
@@ -105,50 +112,55 @@ def random_walks(
     node, 1/q otherwise.  It first decides by weight whether to go back; if not, it
     draws neighbours evenly and keeps the first that passes a coin of its weight.
     Walks without one draw again, more at a time.  So a step never lists the
-    neighbours of a node, however many there are.
+    neighbours of a node, however many there are.  A walk ends early at a node without
+    edges of its own.
     """
     by_number, nodes = _adjacency(edges)
-    linked = edges.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("_linked")).distinct()
     top = max(1.0, 1 / q)
     one_neighbour = p == 1 and q == 1
+    state = ["walk", "cur", "first", "degree"]
     start = nodes.where(F.col("src").startswith(start_prefix)).select(
-        F.explode(F.sequence(F.lit(1), F.lit(walks_per_node))).alias("_n"), F.col("src").alias("cur")
+        F.explode(F.sequence(F.lit(1), F.lit(walks_per_node))).alias("_n"), F.col("src").alias("cur"), "first", "degree"
     )
-    start = start.select(F.concat_ws("#", "cur", "_n").alias("walk"), F.lit(None).cast("string").alias("prev"), "cur")
-    at = cut(start)
+    at = cut(start.select(F.concat_ws("#", "cur", "_n").alias("walk"), F.lit(None).cast("string").alias("prev"), "cur", "first", "degree"))
+    if not one_neighbour:
+        linked = _dealt(edges.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("_linked")).distinct(), "prev", "next")
     steps = [at.select("walk", F.lit(0).alias("step"), F.col("cur").alias("node"))]
     for step in range(1, walk_length):
         moved = []
-        open_walks, attempt = at, 0
+        open_walks, attempt = at.where("degree is not null"), 0
         while True:
             mark = f"{seed}.{step}.{attempt}"
-            placed = open_walks.join(nodes.withColumnRenamed("src", "cur"), "cur")
             draws = 1 if one_neighbour or step == 1 else 8 * 4**attempt
-            placed = placed.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+            placed = open_walks.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(draws))))
             u = hash_unit(mark, F.col("walk"), F.col("_t"))
             drawn = placed.withColumn("edge", F.col("first") + F.floor(u * F.col("degree")).cast("long")).join(by_number, "edge")
+            onward = [F.col("next").alias("cur"), F.col("next_first").alias("first"), F.col("next_degree").alias("degree")]
             if draws == 1:
-                moved.append(drawn.select("walk", F.col("cur").alias("prev"), F.col("next").alias("cur")))
+                moved.append(drawn.select("walk", F.col("cur").alias("prev"), *onward))
                 break
             weight = F.when(F.col("_linked"), F.lit(1.0)).otherwise(F.lit(1 / q)) / top
             back = hash_unit(f"{mark}.back", F.col("walk"), F.col("_t")) < F.lit(1 / p) / (
                 F.lit(1 / p) + F.col("degree") * top  # an attempt ahead draws among all neighbours
             )
             kept = (F.col("next") != F.col("prev")) & (hash_unit(f"{mark}.coin", F.col("walk"), F.col("_t")) < weight)
-            chosen = F.when(back, F.struct("_t", F.col("prev").alias("next"))).when(kept, F.struct("_t", "next"))
+            behind = F.struct("_t", F.col("prev").alias("cur"), F.col("prev_first").alias("first"), F.col("prev_degree").alias("degree"))
+            chosen = F.when(back, behind).when(kept, F.struct("_t", *onward))
             drawn = cut(
                 drawn.join(linked, ["prev", "next"], "left")
-                .groupBy("walk", "prev", "cur")
+                .groupBy("walk", "prev", "prev_first", "prev_degree", *state[1:])
                 .agg(F.min(chosen).alias("_step"))
             )
-            moved.append(drawn.where("_step is not null").select("walk", F.col("cur").alias("prev"), F.col("_step.next").alias("cur")))
-            open_walks = drawn.where("_step is null").select("walk", "prev", "cur")
+            moved.append(drawn.where("_step is not null").select("walk", F.col("cur").alias("prev"), *(F.col(f"_step.{c}") for c in state[1:]), F.col("first").alias("prev_first"), F.col("degree").alias("prev_degree")))
+            open_walks = drawn.where("_step is null").drop("_step")
             attempt += 1
             if open_walks.isEmpty():
                 break
         union = moved[0]
         for more in moved[1:]:
             union = union.unionByName(more)
+        if not one_neighbour and step == 1:  # back at the start
+            union = union.join(nodes.select(F.col("src").alias("prev"), F.col("first").alias("prev_first"), F.col("degree").alias("prev_degree")), "prev")
         at = cut(union)
         steps.append(at.select("walk", F.lit(step).alias("step"), F.col("cur").alias("node")))
     rows = steps[0]
@@ -165,17 +177,6 @@ def metapath_walks(edges: DataFrame, walk_length: int = 10, walks_per_node: int
     return random_walks(typed, walk_length, walks_per_node, seed=seed, start_prefix="r:")
 
 
-def train_embeddings(
-    walks: DataFrame, dimensions: int = 64, window: int = 10, rounds: int = 5, rate: float = 0.025, seed: int = 42, parts: int = 1
-) -> DataFrame:
-    """(node, embedding): skip-gram over walks."""
-    model = Word2Vec(
-        vectorSize=dimensions, windowSize=window, maxIter=rounds, stepSize=rate, minCount=0, seed=seed,
-        numPartitions=parts, inputCol="nodes", outputCol="_v",
-    ).fit(walks)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("embedding"))
-
-
 def edge_features(edges: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Edges with ``features``: the element-wise product of both ends, in either
     direction.  An edge with an unknown end falls away."""

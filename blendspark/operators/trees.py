@@ -184,7 +184,7 @@ def substitution_weighted_pairs(
             .agg(F.sum("w").alias("w"))
         )
         need = max(1.0 - max_distance, B.SLACK * 2)
-        pairs = B.candidate_pairs(families, lambda _: F.lit(need)).select("id1", "id2")
+        pairs = B.near_overlaps(families, lambda _: F.lit(need), lambda _, __: F.lit(need)).select("id1", "id2")
     zero = F.lit(0.0)
     first = bags.select(F.col("recipe_id").alias("id1"), "ingredient_id", F.col("w").alias("a"), zero.alias("b"))
     second = bags.select(F.col("recipe_id").alias("id2"), "ingredient_id", zero.alias("a"), F.col("w").alias("b"))

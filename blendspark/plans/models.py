@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blendspark.functions.numeric import hash_key, r6
 from blendspark.operators import bags as B
 from blendspark.operators import clusters as CL
+from blendspark.operators import embeddings as E
 from blendspark.operators import factors as FA
 from blendspark.operators import graphs as G
 from blendspark.operators import neighbours as N
@@ -118,7 +119,7 @@ def fuzzy_edges(spark, sf):
 # --- graphs ---------------------------------------------------------------------
 
 GRAPH = {
-    "links": """SELECT DISTINCT 'r:' || o_custkey AS src, 'i:' || brand_id AS dst
+    "links": """SELECT DISTINCT 'r:' || o_custkey AS src, 'i:' || item_id AS dst
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN parts ON p_partkey = l_partkey""",
     "edges": "SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links",
     "hashed": "SELECT src, dst, md5('42|' || src || '|' || dst) AS h FROM links",
@@ -136,13 +137,13 @@ GRAPH = {
 
 
 def customer_matrix(spark, sf):
-    """Customers as recipes, brands within a type as ingredients."""
-    p = S.parts(spark, sf).select(F.col("p_partkey").alias("l_partkey"), "brand_id")
+    """Customers as recipes, parts as ingredients."""
+    p = S.parts(spark, sf).select(F.col("p_partkey").alias("l_partkey"), "item_id")
     return (
         S.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         .join(S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
         .join(p, "l_partkey")
-        .groupBy(F.col("o_custkey").alias("recipe_id"), F.col("brand_id").alias("ingredient_id"))
+        .groupBy(F.col("o_custkey").alias("recipe_id"), F.col("item_id").alias("ingredient_id"))
         .agg(F.sum("l_quantity").alias("w"))
     )
 
@@ -186,41 +187,79 @@ def negative_edges(spark, sf):
 
 @query("random_walks")
 def random_walks(spark, sf):
-    walks = G.random_walks(edges_of(spark, sf), walk_length=5, walks_per_node=2, p=1.0, q=0.5)
+    """At the reference's settings: 10 walks of 20 a node, p 1, q 0.5."""
+    walks = G.random_walks(edges_of(spark, sf), p=1.0, q=0.5)
     return walks.withColumn("nodes", F.concat_ws(" ", "nodes"))
 
 
-@query("metapath_walks")
+WALKS = {
+    **GRAPH,
+    "numbered_edges": "SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge FROM edges",
+    "degrees": "SELECT src, min(edge) AS first, count(*) AS degree FROM numbered_edges GROUP BY src",
+    "walk0": "SELECT src || '#' || n AS walk, src AS node FROM degrees CROSS JOIN (SELECT unnest(range(1, 6)) AS n) WHERE src LIKE 'r:%'",
+    **{
+        f"walk{k}": f"""SELECT walk, dst AS node FROM walk{k - 1} JOIN degrees ON src = node JOIN numbered_edges e ON e.edge = first
+            + CAST(floor(CAST('0x' || substr(md5('42.{k}.0|' || walk || '|1'), 1, 12) AS BIGINT) / 281474976710656.0 * degree) AS BIGINT)"""
+        for k in range(1, 10)
+    },
+    "walk_steps": " UNION ALL ".join(f"SELECT walk, {k} AS step, node FROM walk{k}" for k in range(10)),
+}
+
+
+@query("metapath_walks", S.sql("SELECT walk, string_agg(node, ' ' ORDER BY step) AS nodes FROM walk_steps GROUP BY walk", **WALKS))
 def metapath_walks(spark, sf):
-    walks = G.metapath_walks(edges_of(spark, sf), walk_length=6, walks_per_node=2)
-    return walks.withColumn("nodes", F.concat_ws(" ", "nodes"))
+    return G.metapath_walks(edges_of(spark, sf)).withColumn("nodes", F.concat_ws(" ", "nodes"))
+
+
+MEETINGS = {
+    **WALKS,
+    "meetings": """SELECT least(x.node, y.node) AS a, greatest(x.node, y.node) AS b, count(*) AS n FROM walk_steps x
+        JOIN walk_steps y ON x.walk = y.walk AND y.step > x.step AND y.step <= x.step + 5 GROUP BY ALL""",
+    "sides": "SELECT a, b, sum(n) AS n FROM (SELECT * FROM meetings UNION ALL SELECT b, a, n FROM meetings) GROUP BY ALL",
+    "sums": "SELECT a, sum(n) AS t FROM sides GROUP BY a",
+}
+
+
+@query("cooccurrences", S.sql("SELECT a, b, n FROM meetings", **MEETINGS))
+def cooccurrences(spark, sf):
+    return E.cooccurrences(G.metapath_walks(edges_of(spark, sf)), window=5)
+
+
+@query(
+    "association",
+    S.sql(f"""SELECT s.a, s.b, {sql6('m')} AS m FROM (SELECT s.a, s.b, ln(CAST(n AS DOUBLE) * (SELECT sum(t) FROM sums) / x.t / y.t) AS m
+        FROM sides s JOIN sums x ON x.a = s.a JOIN sums y ON y.a = s.b) s WHERE m > 1e-12""", **MEETINGS),
+)
+def association(spark, sf):
+    met = E.cooccurrences(G.metapath_walks(edges_of(spark, sf)), window=5)
+    return E.association(met).withColumn("m", r6(F.col("m")))
 
 
-def trained_of(spark, sf, edges):
-    walks = G.metapath_walks(edges, walk_length=6, walks_per_node=2)
-    return cut(G.train_embeddings(walks, dimensions=8, window=3, rounds=1))
+def trained_of(edges):
+    return cut(E.train_embeddings(G.random_walks(edges, p=1.0, q=0.5)))
 
 
 @query("train_embeddings")
 def train_embeddings(spark, sf):
-    return trained_of(spark, sf, edges_of(spark, sf)).select("node", F.size("embedding").alias("dimensions"))
+    """64 dimensions from windows of 10 over the walks of ``random_walks``."""
+    return trained_of(edges_of(spark, sf)).select("node", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 def node_vectors(spark, sf):
-    """A given vector for every customer and brand: that of its number modulo their count."""
+    """A given vector for every customer and part: that of its number modulo their count."""
     vectors = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
     every = F.lit(vectors.count())
-    brands = S.parts(spark, sf).select("brand_id", (F.col("brand_no") % every).alias("vec_id")).distinct()
+    items = S.parts(spark, sf).select("item_id", (F.col("item_id") % every).alias("vec_id"))
     customers = S.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % every).alias("vec_id"))
     return customers.join(vectors, "vec_id").select(G.recipe_node(F.col("c_custkey")).alias("node"), "embedding").unionByName(
-        brands.join(vectors, "vec_id").select(G.ingredient_node(F.col("brand_id")).alias("node"), "embedding")
+        items.join(vectors, "vec_id").select(G.ingredient_node(F.col("item_id")).alias("node"), "embedding")
     )
 
 
 FEATURES = {
     **GRAPH,
     "vectors": """SELECT 'r:' || c_custkey AS node, CAST(embedding AS DOUBLE[]) AS v FROM customer JOIN embeddings ON vec_id = c_custkey % (SELECT count(*) FROM embeddings) UNION ALL
-        SELECT 'i:' || brand_id, CAST(embedding AS DOUBLE[]) FROM (SELECT DISTINCT brand_id, brand_no FROM parts) JOIN embeddings ON vec_id = brand_no % (SELECT count(*) FROM embeddings)""",
+        SELECT 'i:' || item_id, CAST(embedding AS DOUBLE[]) FROM parts JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings)""",
     "features": """SELECT l.src, l.dst, label, list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i]) AS f
         FROM labelled l JOIN vectors a ON a.node = src JOIN vectors b ON b.node = dst""",
     "norms": "SELECT label, sqrt(list_sum(list_transform(f, lambda x: x * x))) AS norm FROM features",
@@ -259,7 +298,7 @@ def link_classifier(spark, sf):
     parts = G.split_edges(features.select("src", "dst"))
     train = features.join(parts.where("part = 'train'"), ["src", "dst"])
     test = features.join(parts.where("part = 'test'"), ["src", "dst"])
-    return G.link_scores(train, test, rounds=20).select("src", "dst", "label", r6(F.col("score")).alias("score"))
+    return G.link_scores(train, test).select("src", "dst", "label", r6(F.col("score")).alias("score"))
 
 
 @query("link_prediction")
@@ -269,12 +308,12 @@ def link_prediction(spark, sf):
     parts = cut(G.split_edges(links))
     known = parts.where("part = 'train'").select("src", "dst")
     both_ways = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    vectors = trained_of(spark, sf, cut(both_ways))
+    vectors = trained_of(cut(both_ways))
     absent = cut(G.split_edges(G.negative_edges(links, links)))
     rows = parts.withColumn("label", F.lit(1)).unionByName(absent.withColumn("label", F.lit(0)))
     features = cut(G.edge_features(G.valid_edges(rows), vectors))
     train, test = features.where("part = 'train'"), features.where("part = 'test'")
-    return G.train_test_gap(G.link_scores(train, train, 50), G.link_scores(train, test, 50))
+    return G.train_test_gap(G.link_scores(train, train), G.link_scores(train, test))
 
 
 _AUC = """SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)

@@ -331,6 +331,48 @@ def one_swap_edges(spark, sf):
     return B.one_swap_edges(bags).select("id1", "id2", join("only1"), join("only2"))
 
 
+_ALL_PAIRS = {
+    "set_distances": """SELECT a.recipe_id AS id1, b.recipe_id AS id2, a.n AS n1, b.n AS n2, a.n + b.n - 2 * coalesce(c, 0) AS d, coalesce(c, 0) AS c
+        FROM sizes a JOIN sizes b ON abs(a.n - b.n) <= 3 AND a.recipe_id <> b.recipe_id
+        LEFT JOIN (SELECT id1, id2, c FROM set_pairs UNION ALL SELECT id2, id1, c FROM set_pairs) s ON s.id1 = a.recipe_id AND s.id2 = b.recipe_id
+        WHERE a.n + b.n - 2 * coalesce(c, 0) <= 3""",
+}
+
+
+@query(
+    "apart_classes",
+    sql("SELECT id1 AS recipe_id, n1 AS n, n2 AS partner_n, d, count(*) AS apart FROM set_distances WHERE c = 0 GROUP BY ALL", **_ALL_PAIRS),
+)
+def apart_classes(spark, sf):
+    return B.apart_classes(bags_of(spark, sf)[0], 3)
+
+
+@query(
+    "hamming_counts",
+    sql("SELECT recipe_id, count(id2) AS near FROM sizes LEFT JOIN set_distances ON id1 = recipe_id GROUP BY recipe_id", **_ALL_PAIRS),
+)
+def hamming_counts(spark, sf):
+    return B.hamming_counts(bags_of(spark, sf)[0], 3)
+
+
+@query(
+    "named_swaps",
+    sql(
+        """SELECT e.id1, e.id2, a.recipe_name AS recipe_name1, b.recipe_name AS recipe_name2,
+            string_agg(i.ingredient_name, ' <-> ' ORDER BY i.ingredient_id) AS item_names
+        FROM (SELECT id1, id2, ingredient_id FROM (
+            SELECT id1, id2, ingredient_id FROM set_pairs JOIN bags ON recipe_id = id1 WHERE d = 2
+            UNION ALL SELECT id1, id2, ingredient_id FROM set_pairs JOIN bags ON recipe_id = id2 WHERE d = 2) GROUP BY ALL HAVING count(*) = 1) e
+        JOIN ingredients i ON i.ingredient_id = e.ingredient_id JOIN recipes a ON a.recipe_id = e.id1 JOIN recipes b ON b.recipe_id = e.id2
+        GROUP BY ALL""",
+    ),
+)
+def named_swaps(spark, sf):
+    edges = B.one_swap_edges(bags_of(spark, sf)[0])
+    out = B.named_swaps(edges, S.ingredients(spark, sf), S.recipes(spark, sf))
+    return out.withColumn("item_names", F.concat_ws(" <-> ", "item_names"))
+
+
 @query(
     "edits_from",
     sql("""SELECT s.recipe_id, s.n + m.n - 2 * coalesce(c, 0) AS d FROM (SELECT recipe_id, count(*) AS n FROM matrix GROUP BY ALL) s

@@ -339,13 +339,13 @@ def auto_match_exact(spark, sf):
     ),
 )
 def suggest_matches(spark, sf):
-    out = MT.suggest_matches(spelled_names(spark, sf), catalogue(spark, sf), measure="levenshtein")
+    out = MT.suggest_matches(spelled_names(spark, sf), catalogue(spark, sf))
     return out.withColumn("similarity", r6(F.col("similarity")))
 
 
 @query("suggest_matches_ratio")
 def suggest_matches_ratio(spark, sf):
-    return MT.suggest_matches(spelled_names(spark, sf), catalogue(spark, sf))
+    return MT.suggest_matches(spelled_names(spark, sf), catalogue(spark, sf), measure="ratio")
 
 
 @query(

@@ -109,15 +109,20 @@ def read_brand_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest_snapshot(spark: SparkSession, pattern: str, schema: str, kind: str = "csv") -> DataFrame:
-    """Rows of the newest file of a pattern."""
+    """Rows of the newest file of a pattern (of equally new ones the last by name); no file
+    that fits is an empty table.  Names and times come from a listing, no file is opened
+    for them, and no other file is read."""
     reader = spark.read.schema(schema).format(kind)
     if kind == "csv":
         reader = reader.option("header", True)
-    rows = reader.load(pattern)
-    seen = rows.select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file"))
-    files = seen.select("_at", "_file").distinct()
-    newest = files.agg(F.max(F.struct("_at", "_file")).alias("m")).select("m._file")
-    return seen.join(newest, "_file", "left_semi").drop("_at", "_file")
+    try:
+        listed = spark.read.format("binaryFile").load(pattern).select("modificationTime", "path")
+        newest = listed.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    return spark.createDataFrame([], schema) if newest is None else reader.load(newest["path"])
 
 
 def read_match_cache(spark: SparkSession, path: str) -> DataFrame:

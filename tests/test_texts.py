@@ -141,27 +141,74 @@ def test_match_taxonomy(spark):
     }
 
 
-def test_suggestions_against_brute_force(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def similar(measure, a, b):
     import difflib
+
+    if a == b:
+        return 1.0
+    if measure == "ratio":
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    return 1 - edits(a, b) / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("measure", ["levenshtein", "ratio"])
+def test_suggestions_against_brute_force(spark, measure):
     import random
 
     rng = random.Random(3)
-    words = ["gin", "dry", "rum", "old", "rye", "lemon", "lime", "sugar", "syrup", "ginger", "beer", "bitter", "a"]
-    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
-    entries = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
+    words = ["gin", "dry", "rum", "old", "rye", "lemon", "lime", "sugar", "syrup", "ginger", "beer", "bitter", "a", "é漢"]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(80)})
+    entries = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(80)} | {"ab", "x", "ba", "xyz"})
     catalogue = spark.createDataFrame([(i, n, f"/{i}/") for i, n in enumerate(entries)], "id long, name string, path string")
     rows = spark.createDataFrame([(n,) for n in names], "name string")
-    got = {(r["name"], r["id"]): r["similarity"] for r in MT.suggest_matches(rows, catalogue, top=1000).collect()}
+    got = {(r["name"], r["id"]): r["similarity"] for r in MT.suggest_matches(rows, catalogue, top=1000, measure=measure).collect()}
     want = {}
     for n in names:
         for i, e in enumerate(entries):
-            ratio = 1.0 if n == e else difflib.SequenceMatcher(None, n, e).ratio()
-            if ratio >= 0.6 or n in e or e in n:
-                want[n, i] = ratio
+            s = similar(measure, n, e)
+            if s >= 0.6 - 1e-9 or n in e or e in n:
+                want[n, i] = s
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_segments_find_all_and_few(spark):
+    """On random strings no near pair is lost; on names of three words few pairs are met."""
+    import random
+
+    rng = random.Random(8)
+    short = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    long = [" ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8))) for _ in range(3)) for _ in range(300)]
+    one = lambda rows, c: spark.createDataFrame([(x,) for x in sorted(set(rows))], f"{c} string")
+    for rows in (short, long):
+        left, right = sorted(set(rows[::2])), sorted(set(rows[1::2]))
+        met = {tuple(r) for r in MT.edit_keys(one(left, "name_key"), one(right, "entry_key"), 0.6).collect()}
+        near = {(a, b) for a in left for b in right if a and b and a != b and similar("levenshtein", a, b) >= 0.6 - 1e-9}
+        assert near <= met
+    assert len(met) < 0.05 * len(left) * len(right)
+    held = {tuple(r) for r in MT.held_keys(one(short[::2], "i"), "i", one(short[1::2], "o"), "o").collect()}
+    assert held == {(a, b) for a in short[::2] for b in short[1::2] if a and a in b}
+
+
+def test_spans_are_what_whole_word_patterns_find(spark):
+    import re
+
+    terms = ["st. germain", "germain", "-", "--", "st", ".", "st.", "a", "b c", "é", "(dry)", "dry)", "(", "n"]
+    texts = ["st. germain", "the st. germain!", "stgermain", "a--b", "a-b", "--", "a", "b c a", "café", "é n", "gin (dry)", "x(dry)y", "", "b  c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", MT.spans(F.col("t"), 9).alias("s")).collect()
+    for r in rows:
+        assert {x for x in terms if x in r.s} == {x for x in terms if re.search(rf"\b{re.escape(x)}\b", r.t)}, r.t
+
+
 def test_paths(spark):
     row = spark.range(1).select(
         trees.path_nodes(F.lit("/1/22/389/")).alias("nodes"), trees.path_nodes(F.lit(None).cast("string")).alias("none"),
