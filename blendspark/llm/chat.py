@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendspark.llm.frames import ranges_for
+from blendspark.llm.frames import let, ranges_for, running_sums
+from blendspark.operators.lineage import cut
 
 # How a turn is written.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -47,15 +48,15 @@ def rendering(turns: Column) -> Column:
 def learned_spans(turns: Column) -> Column:
     """array<struct<start, end>>: the characters (code points, end exclusive) of a
     rendering that carry loss, which are text and end mark of assistant turns."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    def placed(t: Column) -> Column:
+        ends = running_sums(F.transform(t, lambda x: F.length(rendered(x))))
+        spans = let(ends, lambda e: F.transform(t, lambda x, i: F.struct(
+            (F.get(e, i) + F.length(x["role"]) + len(OPEN) + len(CLOSE)).cast("int").alias("start"), F.get(e, i + 1).cast("int").alias("end"),
+            (x["role"] == LEARNED).alias("learned"),
+        )))
+        return F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    def step(state: Column, turn: Column) -> Column:
-        begin = state["at"] + F.length(turn["role"]) + len(OPEN) + len(CLOSE)
-        end = begin + F.length(turn["text"]) + len(END)
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(turn["role"] == LEARNED, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
-
-    return F.aggregate(turns, zero, step, lambda s: s["found"])
+    return let(turns, placed)
 
 
 def preference_rows(pairs: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
     The longest common prefix of turns is rendered once; each completion is what its
     side has after it, with the spans that carry loss.  A side that ends inside the
     prefix, or two equal sides, have empty completions and no spans.  A null side
-    counts as one without turns.
+    counts as one without turns.  Turns and texts may be of any number and length; an
+    empty table gives no rows.
     """
     none = F.array().cast(f"array<{TURN}>")
     sides = pairs.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
@@ -87,8 +89,10 @@ def reply_at(turns: Column) -> Column:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """ids (conv_id, distinct) with next_id, the next one (after the last: the first)."""
-    ranged = ids.repartitionByRange(ranges_for(ids), "conv_id").withColumn("part", F.spark_partition_id())
+    """ids (conv_id, distinct) with next_id, the next one (after the last: the first).
+
+    The ranges come from a sample, so they are written before they are used twice."""
+    ranged = cut(ids.repartitionByRange(ranges_for(ids), "conv_id").withColumn("part", F.spark_partition_id()))
     led = ranged.withColumn("next_id", F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id")))
     # One row a range: the number of ranges is fixed by the shuffle setting.
     heads = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,3 +79,27 @@ def range_of(key: Column, bounds: list[int]) -> Column:
         return F.when(passed, ahead).otherwise(at)
 
     return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further), F.lit(0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """The sums before each of the whole numbers of an array, and the sum of all.
+
+    Runs of about the root of the length are summed one by one, as appending to an
+    array copies it: n values cost n times root n."""
+    def of(chunk: Column) -> Column:
+        zero = F.array(F.lit(0).cast("long"))
+        return F.aggregate(chunk, zero, lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
+
+    def summed(v: Column, step: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), step), lambda i: of(F.slice(v, i, step)))
+        return let(chunks, lambda c: let(of(F.transform(c, lambda x: F.element_at(x, -1))), lambda before: F.concat(
+            F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + F.get(before, i)))),
+            F.array(F.element_at(before, -1)),
+        )))
+
+    return let(values, lambda v: summed(v, F.ceil(F.sqrt(F.size(v) + 1)).cast("int")))

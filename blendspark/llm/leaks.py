@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendspark.llm.frames import listed, text_of
+from blendspark.llm.frames import let, listed, text_of
 from blendspark.llm.manifest import small_letters
 from blendspark.operators.lineage import cut
 
@@ -20,11 +20,6 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(small_letters(text), NO_WORD), "")
 
@@ -111,11 +106,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         "item_id", F.least("s.n", F.lit(span)).alias("m"), F.col("s.at").alias("at"), F.col("s.w").alias("w")
     ))
     lengths = sorted(r.m for r in pieces.select("m").distinct().collect())  # at most ``span`` numbers
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of(docs).alias("text"))
-    counted = rows.select("row", "doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    # Rows are known by id and text, whatever the order in which they are read; those that
+    # are equal in both have the same result.
+    keys = {f"k{seed}": F.xxhash64(F.lit(seed), docs["doc_id"].isNull(), docs["doc_id"], text_of(docs)) for seed in (1, 2)}
+    rows = docs.select(*[k.alias(c) for c, k in keys.items()], "doc_id", text_of(docs).alias("text"))
+    key = list(keys)
+    counted = rows.select(*key, "doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
     none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}
     if not lengths:
-        return counted.withColumns(none).drop("row")
+        return counted.withColumns(none).drop(*key)
 
     def by_length(of: Callable[[list[int]], Column], kind: str) -> Column:
         """Items have windows of their own length only."""
@@ -128,24 +127,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     segmented = segments(words_of(F.col("text")), span)
     prints = (
-        rows.select("row", F.explode(segmented).alias("s"))
-        .select("row", "s.at", F.explode(fingerprints(F.col("s.w"), lengths, span, gram)).alias("print"))
+        rows.select(*key, F.explode(segmented).alias("s"))
+        .select(*key, "s.at", F.explode(fingerprints(F.col("s.w"), lengths, span, gram)).alias("print"))
     )
-    met = prints.join(listed(item_prints), "print", "left_semi").select("row", "at").distinct()
-    met = listed(met.groupBy("row").agg(F.collect_list("at").alias("places")))
+    met = prints.join(listed(item_prints), "print", "left_semi").select(*key, "at").distinct()
+    met = listed(met.groupBy(*key).agg(F.collect_list("at").alias("places")))
     again = F.filter(segmented, lambda s: F.array_contains("places", s["at"]))
     found = cut(
-        rows.join(met, "row").select("row", F.explode(again).alias("s"))
-        .select("row", F.explode(windows(F.col("s.at"), F.col("s.w"), lengths)).alias("x")).select("row", "x.*")
-        .join(listed(item_windows.select("window").distinct()), "window", "left_semi")
+        rows.join(met, key).select(*key, F.explode(again).alias("s"))
+        .select(*key, F.explode(windows(F.col("s.at"), F.col("s.w"), lengths)).alias("x")).select(*key, "x.*")
+        .join(listed(item_windows.select("window").distinct()), "window", "left_semi").distinct()
     )
-    before = Window.partitionBy("row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     new = F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0))
-    hit = found.select("row", new.alias("new")).groupBy("row").agg(F.sum("new").alias("n_hit"))
+    hit = found.select(*key, new.alias("new")).groupBy(*key).agg(F.sum("new").alias("n_hit"))
     named = (
-        found.select("row", "window").distinct().join(listed(item_windows), "window")
-        .groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        found.select(*key, "window").distinct().join(listed(item_windows), "window")
+        .groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
-    result = listed(hit.join(named, "row"))
-    return counted.join(result, "row", "left").drop("row").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    result = listed(hit.join(named, key))
+    return counted.join(result, key, "left").drop(*key).withColumns({c: F.coalesce(c, v) for c, v in none.items()})

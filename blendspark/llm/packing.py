@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,9 @@ LENGTH = 2048
 END_ID = 1
 #: The added tokens of the vocabulary file, which its rank file lacks.
 ADDED = {"<|endoftext|>": 50256}
+#: White space (as Unicode has it) in runs that the pattern of the vocabulary can't look
+#: behind: it steps back from the end of a run, and fails after some hundred thousand.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 #: Size of the hashed vectors, dimensions they are projected to, bits of each.
 HASHED, DIMENSIONS, BITS = 1024, 4, 8
 #: Ranges are dealt to partitions by a hash; a few for each make these alike in size.
@@ -50,7 +54,19 @@ def token_ids(text: str, path: str | None = None, added: bool = False) -> np.nda
     """The ids of a text, with the end id behind them.  ``added``: strings of added tokens
     get their one id, as the vocabulary file says; otherwise they are ordinary text."""
     encoding = _encoding(path)
-    ids = encoding.encode(text, allowed_special="all") if added else encoding.encode_ordinary(text)
+
+    def encoded(part: str) -> list[int]:
+        return encoding.encode(part, allowed_special="all") if added else encoding.encode_ordinary(part)
+
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        # The pattern takes a run as one piece, but for the last blank before other text.
+        last = run.end() == len(text) or added and text.startswith(tuple(ADDED), run.end())
+        end = run.end() if last else run.end() - 1
+        ids += encoded(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():end])
+        at = end
+    ids += encoded(text[at:])
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -188,8 +204,9 @@ def pack(docs: DataFrame, path: str | None = None, added: bool = False) -> DataF
     Documents follow each other along the curve and are cut freely, so that all
     sequences are full but what a partition has left, which is cut into powers of
     two: nothing is padded.  A null or empty text is its end id alone; rows that
-    repeat are packed as often; an empty table gives no rows.  ``added`` as in
-    ``token_ids``; the query and the pipeline ask for it.
+    repeat are packed as often; an empty table gives no rows; a text of any length, also
+    one of white space, is cut like any other.  ``added`` as in ``token_ids``; the query
+    and the pipeline ask for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from re import _parser as regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendspark.llm.frames import fresh, text_of
+from blendspark.llm.frames import fresh, let, listed, running_sums, text_of
 
 # The base rules (kind, pattern, group whose length counts, least length).
 # Where a match is a whole run, the least length stands in the pattern.
@@ -68,7 +68,7 @@ def _strings(node) -> set[str] | None:
             if what is not op.LITERAL:
                 return None
             found.add(chr(x).lower())
-        return found if len(found) <= 4 else None
+        return found if len(found) <= STRINGS else None
     if kind is op.SUBPATTERN:
         return _sequence(value[-1])
     if kind is op.BRANCH:
@@ -131,26 +131,25 @@ def spans(text: Column, rule: tuple[str, str, int, int]) -> Column:
     r = F.lit(pattern)
     # What stands before each match, the match and its group, side by side; after the
     # last match the split leaves one piece more, which has no match.
-    matches = F.zip_with(
-        F.regexp_extract_all(text, r, F.lit(0)), F.regexp_extract_all(text, r, F.lit(group)),
-        lambda w, g: F.struct(F.length(w).alias("n"), F.length(g).alias("part")),
+    lengths = F.zip_with(
+        F.transform(F.regexp_extract_all(text, r, F.lit(0)), lambda w: F.length(w)),
+        F.transform(F.regexp_extract_all(text, r, F.lit(group)), lambda g: F.length(g)) if group else F.array().cast("array<int>"),
+        lambda n, part: F.struct(n.alias("n"), (part if group else n).alias("part")),
     )
-    pairs = F.zip_with(
-        matches, F.split(text, pattern),
-        lambda m, gap: F.struct(m["n"].alias("n"), m["part"].alias("part"), F.length(gap).alias("gap")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("found"))
+    gaps = F.transform(F.split(text, pattern), lambda gap: F.length(gap))
 
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        end = begin + F.coalesce(m["n"], F.lit(0))
-        this = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(
-            end.alias("at"),
-            F.when(m["part"] >= least, F.concat(state["found"], this)).otherwise(state["found"]).alias("found"),
-        )
+    def placed(m: Column, gap: Column) -> Column:
+        ends = running_sums(F.flatten(F.zip_with(m, gap, lambda x, g: F.array(g, F.coalesce(x["n"], F.lit(0))))))
+        return let(ends, lambda e: F.filter(
+            F.transform(m, lambda x, i: F.struct(
+                F.lit(kind).alias("kind"), F.get(e, 2 * i + 1).cast("int").alias("start"), F.get(e, 2 * i + 2).cast("int").alias("end"), x["part"].alias("part"),
+            )),
+            lambda s: s["part"] >= least,
+        ))
 
-    return F.aggregate(pairs, start, step, lambda s: s["found"])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,part:int>>")
+    found = let(lengths, lambda m: F.when(F.size(m) > 0, placed(m, gaps)).otherwise(none))
+    return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -158,7 +157,9 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
     Null text counts as empty; extra columns stay (one called secrets is replaced).
     Rules with mandatory trigrams run only over the documents that the index names
-    (a null doc_id is looked up like any other); the others run over all.
+    (a null doc_id is looked up like any other); the others run over all.  Texts of any
+    length with any number of matches are scanned whole; an empty table gives no rows.
+    The list of hits is joined by ``listed``, so texts move only beyond its bound.
     """
     queries = {rule[0]: trigram_query(rule[1]) for rule in rules}
     keyed = {k: q for k, q in queries.items() if q is not None}
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     if keyed:
         trigrams = sorted({t for q in keyed.values() for clause in q for t in clause})
         hits = candidates(postings(docs, trigrams), keyed)
-        hits = hits.select(F.col("doc_id").alias("_hit"), F.col("rules").alias(named))
+        hits = listed(hits.select(F.col("doc_id").alias("_hit"), F.col("rules").alias(named)))
         out = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left").drop("_hit")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     found = [

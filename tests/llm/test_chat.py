@@ -60,3 +60,23 @@ def test_given_pairs(spark):
     assert got[1].chosen[got[1].chosen_mask[0].start:got[1].chosen_mask[0].end] == "a<|end|>\n"
     assert (got[2].shared, got[2].chosen, got[2].rejected_mask) == (0, "", [])
     assert (got[3].shared, got[3].chosen, got[3].rejected) == (1, "", "")
+
+
+def test_very_many_turns(spark):
+    turns = [("user" if i % 2 else "assistant", "x" * (i % 3)) for i in range(100_000)]
+    turn = "array<struct<role:string,text:string>>"
+    row = chat.preference_rows(spark.createDataFrame([(1, turns, [])], f"pair_id int, chosen {turn}, rejected {turn}")).first()
+    assert [tuple(s) for s in row.chosen_mask] == spans(turns) and row.rejected_mask == []
+
+
+def test_partners_do_not_rest_on_exchange_reuse(spark):
+    """More ids than the sample that finds the ranges, and no exchange read twice."""
+    from pyspark.sql import functions as F
+
+    n, reuse = 400_000, spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        wrong = chat.following(spark.range(n).select(F.col("id").alias("conv_id"))).where((F.col("conv_id") + 1) % n != F.col("next_id"))
+        assert wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)

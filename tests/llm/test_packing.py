@@ -57,6 +57,22 @@ def test_odd_rows(spark):
     assert packing.pack(spark.createDataFrame([(None, "a")], "doc_id long, text string")).count() == 1
 
 
+def test_long_white_space(spark):
+    """Ids as those of the vocabulary's own library, and a run that its pattern can't take."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for space in (" " * 5000, "\n" * 4096, " \t\n\u3000\xa0" * 1500, " " * 4999 + "\n", "\x1c" * 5000, "\u2003" * 4500 + " "):
+        for text in (space, f"a{space}b", f"{space}'s", f"x {space}<|endoftext|>{space}y", f"{space}.{space}"):
+            assert packing.token_ids(text, added=True)[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = {1: " " * 2_000_000, 2: "a" + " " * 1_000_000 + "b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(docs, added=True).collect()
+    for d, text in texts.items():
+        assert sum(r.length for r in rows if r.doc_id == d) == len(packing.token_ids(text, added=True))
+
+
 @pytest.mark.parametrize(("dimensions", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_curve_visits_neighbours(dimensions, bits):
     points = np.array(list(itertools.product(range(1 << bits), repeat=dimensions)))
