@@ -156,6 +156,57 @@ def test_edit_counts_and_edges(spark):
         assert edge["only1"] == sorted(a - b) and edge["only2"] == sorted(b - a) and len(a ^ b) == 2
 
 
+def test_sets_that_share_nothing_are_classes(spark):
+    recipes = random_recipes(6) | {100: {5: 1.0}, 101: {8: 1.0}, 102: {9: 1.0}, 103: {1: 0.5, 2: 0.5}, 104: {8: 0.5, 9: 0.5}}
+    sets = {r: set(items) for r, items in recipes.items()}
+    matrix = matrix_of(spark, {r: dict.fromkeys(items, 1.0) for r, items in sets.items()})
+    apart, near = {}, dict.fromkeys(sets, 0)
+    for a, b in itertools.permutations(sets, 2):
+        d = len(sets[a] ^ sets[b])
+        near[a] += d <= 3
+        if d <= 3 and not sets[a] & sets[b]:
+            key = (a, len(sets[a]), len(sets[b]), d)
+            apart[key] = apart.get(key, 0) + 1
+    got = {(r["recipe_id"], r["n"], r["partner_n"], r["d"]): r["apart"] for r in B.apart_classes(matrix, 3).collect()}
+    assert got == apart
+    assert {r["recipe_id"]: r["near"] for r in B.hamming_counts(matrix, 3).collect()} == near
+
+
+@pytest.mark.parametrize("most", [0, 2, 32])
+def test_deletion_keys_and_long_sets(spark, monkeypatch, most):
+    """Sets taken apart, sets that are too long for it, and pairs of both."""
+    monkeypatch.setattr(B, "MOST_ITEMS", most)
+    rng = random.Random(7)
+    sets = {r: set(rng.sample(range(8), rng.randint(1, 6))) for r in range(50)}
+    matrix = matrix_of(spark, {r: dict.fromkeys(items, 1.0) for r, items in sets.items()})
+    for bound in (1, 2, 3, 4):
+        got = {(r["id1"], r["id2"]): (r["n1"], r["n2"], r["d"]) for r in B.edit_distance_pairs(matrix, bound).collect()}
+        want = {
+            (a, b): (len(sets[a]), len(sets[b]), len(sets[a] ^ sets[b]))
+            for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b] and len(sets[a] ^ sets[b]) <= bound
+        }
+        assert got == want
+    edges = B.one_swap_edges(matrix).collect()
+    assert {(e["id1"], e["id2"]) for e in edges} == {p for p, x in want.items() if x[2] == 2}
+    assert all(e["only1"] == sorted(sets[e["id1"]] - sets[e["id2"]]) and e["only2"] == sorted(sets[e["id2"]] - sets[e["id1"]]) for e in edges)
+
+
+def test_tiles_of_hot_items_lose_nothing(spark, monkeypatch):
+    recipes = random_recipes(8)
+    bags, members = B.collapse_copies(matrix_of(spark, recipes))
+    whole = sorted(map(tuple, B.manhattan_pairs(bags, 1.5).collect()))
+    lists = sorted(map(tuple, N.nearest_recipes(bags, members, 3).collect()))
+    monkeypatch.setattr(B, "TILE", 3)
+    assert whole and sorted(map(tuple, B.manhattan_pairs(bags, 1.5).collect())) == whole
+    assert sorted(map(tuple, N.nearest_recipes(bags, members, 3).collect())) == lists
+
+
+def test_copies_are_told_by_rounded_weights(spark):
+    matrix = matrix_of(spark, {1: {5: 0.1 + 0.2, 6: 0.7}, 2: {5: 0.3, 6: 0.7}, 3: {5: 0.3001, 6: 0.6999}})
+    _, members = B.collapse_copies(matrix)
+    assert {r["recipe_id"]: r["bag_id"] for r in members.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_knn_with_many_copies(spark):
     recipes = random_recipes(5)
     bags, members = B.collapse_copies(matrix_of(spark, recipes))

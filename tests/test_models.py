@@ -8,6 +8,7 @@ from blendspark.operators import bags as B
 from blendspark.operators import clusters as CL
 from blendspark.operators import costs as C
 from blendspark.operators import factors as FA
+from blendspark.operators import embeddings as E
 from blendspark.operators import graphs as G
 
 M = 6
@@ -207,3 +208,55 @@ def test_link_scores_separate_clear_classes(spark):
     scored = G.link_scores(df.where("src < 'r:3'"), df, rounds=50)
     assert G.auc(scored).first()["auc"] == 1.0 and G.threshold_report(scored).first()["accuracy"] == 1.0
     assert G.auc(G.link_scores(df, df, 50, fit_on_eval=True)).first()["auc"] == 1.0
+
+
+def test_meetings_and_association(spark):
+    rng = np.random.default_rng(4)
+    walks = [[f"n{x}" for x in rng.integers(0, 6, rng.integers(1, 12))] for _ in range(40)] + [["n0"] * 5, []]
+    df = spark.createDataFrame([(str(i), w) for i, w in enumerate(walks)], "walk string, nodes array<string>")
+    want = {}
+    for w in walks:
+        for i, x in enumerate(w):
+            for y in w[i + 1:i + 4]:
+                key = (min(x, y), max(x, y))
+                want[key] = want.get(key, 0) + 1
+    met = E.cooccurrences(df, window=3)
+    assert {(r["a"], r["b"]): r["n"] for r in met.collect()} == want
+    names = sorted({x for k in want for x in k})
+    sides = np.zeros((len(names), len(names)))
+    for (a, b), n in want.items():
+        sides[names.index(a), names.index(b)] += n
+        sides[names.index(b), names.index(a)] += n
+    with np.errstate(divide="ignore"):
+        m = np.log(sides * sides.sum() / np.outer(sides.sum(1), sides.sum(1))) - np.log(1.2)
+    got = {(r["a"], r["b"]): r["m"] for r in E.association(met, negatives=1.2).collect()}
+    assert got.keys() == {(names[i], names[j]) for i, j in np.argwhere(m > 1e-12)}
+    assert all(v == pytest.approx(m[names.index(a), names.index(b)]) for (a, b), v in got.items())
+
+
+@pytest.mark.parametrize("rank", [3, 40])
+def test_leading_vectors_against_numpy(spark, rank):
+    """A symmetric matrix of rank 5: its best approximation, and zeros beyond its rank."""
+    rng = np.random.default_rng(1)
+    left = rng.normal(size=(30, 5)) * [5, 4, 3, 2, 1]
+    matrix = (left * [1, -1, 1, 1, -1]) @ left.T
+    cells = [(i, j, float(matrix[i, j])) for i in range(30) for j in range(30)]
+    vectors, caught = E.leading_vectors(spark.createDataFrame(cells, "i long, j long, m double"), rank, tolerance=1e-9, rounds=60)
+    got = np.array([r["v"] for r in vectors.orderBy("id").collect()])
+    values = np.sort(np.abs(np.linalg.eigvalsh(matrix)))[::-1][:rank]
+    assert got.shape == (30, rank)
+    assert np.allclose((got**2).sum(axis=0), np.concatenate([values[:5], np.zeros(max(0, rank - 5))])[:rank], rtol=1e-3, atol=1e-6)
+    assert caught[-1] == pytest.approx((values**2).sum() / (matrix**2).sum(), rel=1e-3) and caught == sorted(caught)
+
+
+def test_embeddings_tell_groups_apart(spark):
+    """Two sets of recipes on items of their own, joined by one item."""
+    cells = [(r, i + 10 * (r % 2), 1.0) for r in range(20) for i in range(4) if (r + i) % 3] + [(r, 99, 1.0) for r in (0, 1)]
+    edges = G.bipartite_edges(spark.createDataFrame(cells, "recipe_id long, ingredient_id long, w double"))
+    vectors = E.train_embeddings(G.metapath_walks(edges, 10, 20), dimensions=8, window=5)
+    got = {r["node"]: np.array(r["embedding"]) for r in vectors.collect()}
+    assert len(got) == 29 and all(len(v) == 8 for v in got.values())
+    near = np.mean([got[f"r:{r}"] @ got[f"i:{i + 10 * (r % 2)}"] for r in range(20) for i in range(4)])
+    far = np.mean([got[f"r:{r}"] @ got[f"i:{i + 10 * (1 - r % 2)}"] for r in range(20) for i in range(4)])
+    assert near > far + 0.2
+    assert E.train_embeddings(spark.createDataFrame([], "walk string, nodes array<string>"), 4).count() == 0
