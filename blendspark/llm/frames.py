@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,14 @@ def listed(ids: DataFrame) -> DataFrame:
 
 
 def release(spark) -> None:
-    """Let go of the shuffle and checkpoint files of finished steps.  Spark's cleaner drops
-    them once the driver has collected the garbage that refers to them, which a driver
-    with little to do seldom does by itself."""
+    """Let go of the shuffle, broadcast and checkpoint files of finished steps, and of the
+    driver's free memory.  Spark's cleaner drops the files once the driver has collected the
+    garbage that refers to them, which a driver with little to do seldom does by itself."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -137,7 +137,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(sets: DataFrame) -> DataFrame:
-    """s, node: a row for each shingle of each set's prefix."""
+    """s, node: a row for each shingle of each set's prefix; written."""
     held = sets.sparkSession.sparkContext.broadcast(frequent(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,9 @@ def index(sets: DataFrame) -> DataFrame:
             node = np.repeat(np.asarray(batch.column("node")), [len(p) for p in parts[1:]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], ["s", "node"])
 
-    return sets.select("node", "hashes").mapInArrow(run, "s long, node long")
+    written = cut(sets.select("node", "hashes").mapInArrow(run, "s long, node long"))
+    held.destroy()
+    return written
 
 
 def tiles_of(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,7 +244,7 @@ def overlap_components(docs: DataFrame) -> DataFrame:
     del low, copies
     release(docs.sparkSession)
     sets = cut(full_sets(docs, nodes))
-    tiles = cut(tiles_of(cut(index(sets)), sets))
+    tiles = cut(tiles_of(index(sets), sets))
     release(docs.sparkSession)
     found = joined_up(tiles, sets)
     placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendspark.llm import words
-from blendspark.llm.frames import listed, text_of
+from blendspark.llm.frames import listed, release, text_of
 from blendspark.llm.labels import training_labels
 from blendspark.llm.packing import curve_keys
 
@@ -186,7 +186,7 @@ def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.n
     row, term, w = row[~many[term]], term[~many[term]], w[~many[term]]
     order = np.lexsort((row, term))
     row, term, w = row[order], term[order], w[order]
-    group = term * (len(ids) // BLOCK + 1) + row // BLOCK
+    group = term.astype(np.int64) * (len(ids) // BLOCK + 1) + row // BLOCK
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     index = Index(
         vocabulary, idf, labels, ids,
@@ -259,15 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
         hashes.append(h[new])
     every, held = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     vocabulary = Vocabulary(every[held >= LEAST_EXAMPLES])
+    del hashes, every, held
     clean = listed(known.where("y = 0").select("doc_id"))
     df, n_docs = document_counts(docs.join(clean, "doc_id", "left_semi"), vocabulary)
     idf = np.log((n_docs + 2) / (df + 1)) ** STEEPNESS
     parts = []
     for first, data, offsets in words.slices(texts):
         row, term, count = vocabulary.counts(data, offsets)
-        parts.append((row + first, term, count))
-    counts = tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-    return build(ids, y, vocabulary, idf, counts, share)
+        parts.append(tuple(x.astype(np.int32) for x in (row + first, term, count)))
+    counts = tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+    del parts, found, texts
+    index = build(ids, y, vocabulary, idf, counts, share)
+    del counts
+    release(docs.sparkSession)
+    return index
 
 
 def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -285,6 +290,7 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(n[met], rows))], ["term", "n"])
 
     sums = docs.select(text_of(docs).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
     df = np.zeros(len(vocabulary.hashes) + 1, np.int64)
     df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return df[:-1], int(df[-1])
