@@ -14,7 +14,7 @@ def shared_folder(context) -> str:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="blendspark-")
         context.setCheckpointDir(folder)
@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scanned table that comes in fewer pieces than there are cores, dealt out evenly for
+    dear steps per row; one of enough pieces stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def dense_index(rows: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """Number rows 0, 1, 2, ... in the given order without a one-task window.
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendspark.functions.numeric import hash_key
+from blendspark.operators.bags import copies_of, near_overlaps
+from blendspark.operators.lineage import cut, prefix_sum
 from blendspark.operators.lines import parse_lines
+from blendspark.operators.neighbours import nearest_bags
 
 
 def ingredient_usage(uses: DataFrame, ingredients: DataFrame, recipes: DataFrame, minimum: int = 1, samples: int = 3) -> DataFrame:
@@ -131,6 +134,60 @@ def distance_summary(pairs: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
+def all_pairs_summary(bags: DataFrame, members: DataFrame) -> DataFrame:
+    """(n_pairs, min_d, max_d, mean_d) of the Manhattan distances of all pairs of recipes,
+    out of collapsed bags whose weights add up to 1; no pair is listed.
+
+    The mean needs the sum of all overlaps, which is a sum over items: of the weights of an
+    item, sorted, each is the lesser one for all behind it.  The least distance is 0 where
+    there are copies, else that of the nearest bags.  The greatest is 2 where some pair shares
+    nothing, which is told by the number of sharing pairs; where all share, items are few
+    enough in common that the pairs are looked at.
+    """
+    copies = cut(copies_of(members))
+    n, alike = copies.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    pairs = n * (n - 1) // 2
+    cells = bags.join(copies.select(F.col("bag_id").alias("recipe_id"), "copies"), "recipe_id")
+    steps = cells.groupBy("ingredient_id", F.round("w", 12).alias("w")).agg(F.sum("copies").alias("c"))
+    # Equal weights of an item are one row; the rest is a running count over distinct weights.
+    ranked = prefix_sum(
+        steps.withColumn("_k", F.struct("ingredient_id", F.col("w").alias("w"))).select("_k", "ingredient_id", "w", "c"), "_k", "c", "_before"
+    )
+    totals = steps.groupBy("ingredient_id").agg(F.sum("c").alias("_all"))
+    firsts = ranked.groupBy("ingredient_id").agg(F.min("_before").alias("_first"))
+    c, behind = F.col("c"), F.col("_all") - (F.col("_before") - F.col("_first")) - F.col("c")
+    overlap = ranked.join(totals, "ingredient_id").join(firsts, "ingredient_id").agg(F.sum(F.col("w") * (c * (c - 1) / 2 + c * behind))).first()[0]
+    return bags.sparkSession.range(1).select(
+        F.lit(pairs).cast("long").alias("n_pairs"), F.lit(_least(bags, n, alike)).cast("double").alias("min_d"),
+        F.lit(_greatest(bags, n)).cast("double").alias("max_d"), F.lit(2 - 2 * (overlap or 0.0) / pairs if pairs else None).cast("double").alias("mean_d"),
+    )
+
+
+def _least(bags: DataFrame, n: int, alike: int) -> float | None:
+    if n < 2:
+        return None
+    if alike > 1:
+        return 0.0
+    return nearest_bags(bags, 1).agg(F.coalesce(F.min("d"), F.lit(2.0))).first()[0]
+
+
+def _greatest(bags: DataFrame, n: int) -> float | None:
+    """Some pair shares nothing unless every two bags meet: then each bag shares something
+    with each of the smallest ones, so a bag that misses one of these settles it."""
+    if n < 2:
+        return None
+    sizes = bags.groupBy("recipe_id").agg(F.count("*").alias("k"))
+    count, smallest = sizes.agg(F.count("*"), F.min_by("recipe_id", F.struct("k", "recipe_id"))).first()
+    own = bags.where(F.col("recipe_id") == smallest).select("ingredient_id")
+    met = bags.join(own, "ingredient_id", "left_semi").select("recipe_id").distinct().count()
+    if met < count:
+        return 2.0
+    found = near_overlaps(bags, lambda t: F.lit(0.0), lambda a, b: F.lit(0.0)).agg(F.count("*").alias("n"), F.min("overlap").alias("o")).first()
+    if found.n < count * (count - 1) // 2:
+        return 2.0
+    return 2 - 2 * found.o if found.n else 0.0
+
+
 def column_summary(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Mean, population deviation, minimum and maximum per vector position."""
     return (

@@ -10,6 +10,7 @@ from blendspark.operators import bags as B
 from blendspark.operators import facts as FO
 from blendspark.operators import matrix as M
 from blendspark.operators import neighbours as N
+from blendspark.operators.lineage import cut
 from blendspark.plans import standins as S
 from blendspark.plans.registry import query
 from blendspark.plans.standins import r6 as sql6
@@ -387,13 +388,24 @@ def edits_from(spark, sf):
 
 @query(
     "knn",
-    sql(f"""SELECT id, neighbour, rank, d FROM (SELECT id1 AS id, id2 AS neighbour, d,
-            row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS rank
-        FROM (SELECT id1, id2, {sql6('d')} AS d FROM manhattan UNION ALL SELECT id2, id1, {sql6('d')} FROM manhattan))
-        WHERE rank <= 5"""),
+    sql(
+        f"""SELECT id, neighbour, rank, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM (
+            SELECT id, neighbour, {sql6('d')} AS d FROM bag_sharing
+            UNION ALL SELECT a.recipe_id, b.recipe_id, 2.0 FROM sizes a JOIN lowest_bags b ON a.recipe_id <> b.recipe_id
+                WHERE (a.recipe_id, b.recipe_id) NOT IN (SELECT (id, neighbour) FROM bag_sharing))) WHERE rank <= 5""",
+        bag_sharing="""SELECT x.recipe_id AS id, y.recipe_id AS neighbour, greatest(2 - 2 * sum(least(x.w, y.w)), 0) AS d
+            FROM bags x JOIN bags y ON x.ingredient_id = y.ingredient_id AND x.recipe_id <> y.recipe_id GROUP BY ALL""",
+        lowest_bags="SELECT recipe_id FROM sizes ORDER BY recipe_id LIMIT 40",
+    ),
 )
 def knn(spark, sf):
-    return N.knn(manhattan_pairs(spark, sf), 5)
+    """Five nearest of every distinct bag out of all others, from a pair table that holds
+    them: each bag's own list, told from both ends."""
+    bags, _ = bags_of(spark, sf)
+    alone = bags.select("recipe_id").distinct().select("recipe_id", F.col("recipe_id").alias("bag_id"), F.lit(1).cast("long").alias("copies"))
+    lists = N.nearest_recipes(bags, cut(alone), 5)
+    pairs = lists.select(F.least("id", "neighbour").alias("id1"), F.greatest("id", "neighbour").alias("id2"), "d").distinct()
+    return N.knn(cut(pairs), 5)
 
 
 def nearest_recipes(spark, sf, k=10):

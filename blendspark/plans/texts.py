@@ -11,7 +11,7 @@ from blendspark.operators import lines as L
 from blendspark.operators import mapping as MP
 from blendspark.operators import matching as MT
 from blendspark.operators import reports as R
-from blendspark.operators.lineage import dense_index
+from blendspark.operators.lineage import dense_index, spread
 from blendspark.plans import standins as S
 from blendspark.plans.registry import query
 from blendspark.plans.standins import r6 as sql6
@@ -39,7 +39,7 @@ def line_table(spark, sf):
     )
     parts = S.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     return (
-        S.table(spark, sf, "lineitem")
+        spread(S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))
         .join(parts, "l_partkey")
         .select(
             F.col("l_orderkey").alias("recipe_id"), n.alias("line"),
@@ -709,9 +709,26 @@ def recipe_string_boolean(spark, sf):
 
 @query(
     "distance_summary",
-    S.sql(f"""SELECT count(*) AS n_pairs, {sql6('min(d)')} AS min_d, {sql6('max(d)')} AS max_d, {sql6('avg(d)')} AS mean_d FROM manhattan"""),
+    S.sql(
+        f"""SELECT n * (n - 1) // 2 AS n_pairs, {sql6('CASE WHEN whole.n_sharing < n * (n - 1) // 2 THEN least(min_d, 2.0) ELSE min_d END')} AS min_d,
+            {sql6('CASE WHEN whole.n_sharing < n * (n - 1) // 2 THEN 2.0 ELSE max_d END')} AS max_d, {sql6('2 - total / (n * (n - 1) // 2)')} AS mean_d
+        FROM (SELECT count(*) AS n_sharing, min(d) AS min_d, max(d) AS max_d, sum(2 - d) AS total FROM sharing WHERE id < neighbour) whole,
+            (SELECT count(DISTINCT recipe_id) AS n FROM matrix)""",
+    ),
 )
 def distance_summary(spark, sf):
+    """Over all pairs of recipes, copies and those that share nothing included."""
+    from blendspark.plans.tables import bags_of
+
+    out = R.all_pairs_summary(*bags_of(spark, sf))
+    return out.select("n_pairs", *(r6(F.col(c)).alias(c) for c in ("min_d", "max_d", "mean_d")))
+
+
+@query(
+    "near_summary",
+    S.sql(f"""SELECT count(*) AS n_pairs, {sql6('min(d)')} AS min_d, {sql6('max(d)')} AS max_d, {sql6('avg(d)')} AS mean_d FROM manhattan"""),
+)
+def near_summary(spark, sf):
     from blendspark.plans.tables import manhattan_pairs
 
     out = R.distance_summary(manhattan_pairs(spark, sf))

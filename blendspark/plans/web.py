@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blendspark.functions import text as T
 from blendspark.functions.markup import Node
 from blendspark.operators import pages as P
+from blendspark.operators.lineage import spread
 from blendspark.plans import standins as S
 from blendspark.plans.registry import query
 from blendspark.plans.texts import PARSED
@@ -30,7 +31,7 @@ LAYOUTS = {"article": article}
 
 def page_table(spark, sf):
     host = F.regexp_extract("url", r"^[a-z]+://[^/]*example\.([a-z]+)", 1)
-    return S.table(spark, sf, "pages").select(
+    return spread(S.table(spark, sf, "pages")).select(
         host.alias("source"), F.concat(F.lit("/data/html/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html"
     )
 
