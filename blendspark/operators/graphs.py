@@ -53,31 +53,63 @@ def split_edges(edges: DataFrame, train: float = 0.8, seed: int = 42) -> DataFra
 
 
 def negative_edges(positives: DataFrame, known: DataFrame, seed: int = 42, draws: int = 3) -> DataFrame:
-    """(src, dst): as many absent recipe-ingredient pairs as there are positives.
+    """(src, dst): as many absent recipe-ingredient pairs as there are positives, or all
+    there are.
 
     Each positive draws a few random pairs by hash; known edges and repeats are
-    thrown out, and the first ones in a hashed order are kept.  More draws are made
-    while too few are left, as long as the graph has that many absent pairs.
+    thrown out, and the first ones in a hashed order are kept.  Where that leaves too few,
+    as in a graph that has most of its pairs, they are taken by rank among the absent
+    pairs instead (``absent_by_rank``).
     """
-    ends = known.select("src", "dst").distinct()
+    ends = cut(known.select("src", "dst").distinct())
     sources = cut(dense_index(ends.select("src").distinct(), "src"))
     targets = cut(dense_index(ends.select("dst").distinct(), "dst"))
     n_sources, n_targets, wanted = sources.count(), targets.count(), positives.count()
     wanted = min(wanted, n_sources * n_targets - ends.count())
-    while True:
-        drawn = positives.select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_t"))
-        place = lambda side, n: F.floor(hash_unit(f"{seed}.{side}", F.col("src"), F.col("dst"), F.col("_t")) * n)
-        picks = drawn.select(place("s", n_sources).alias("s"), place("t", n_targets).alias("t")).distinct()
-        absent = (
-            picks.join(sources.select(F.col("idx").alias("s"), "src"), "s")
-            .join(targets.select(F.col("idx").alias("t"), "dst"), "t")
-            .select("src", "dst")
-            .join(ends, ["src", "dst"], "left_anti")
-        )
-        ordered = dense_index(absent.withColumn("_h", hash_key(seed, F.col("src"), F.col("dst"))), "_h", "src", "dst")
-        if ordered.count() >= wanted:
-            return ordered.where(F.col("idx") < wanted).select("src", "dst")
-        draws *= 2
+    drawn = positives.select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_t"))
+    place = lambda side, n: F.floor(hash_unit(f"{seed}.{side}", F.col("src"), F.col("dst"), F.col("_t")) * n)
+    picks = drawn.select(place("s", n_sources).alias("s"), place("t", n_targets).alias("t")).distinct()
+    absent = (
+        picks.join(sources.select(F.col("idx").alias("s"), "src"), "s")
+        .join(targets.select(F.col("idx").alias("t"), "dst"), "t")
+        .select("src", "dst")
+        .join(ends, ["src", "dst"], "left_anti")
+    )
+    ordered = cut(dense_index(absent.withColumn("_h", hash_key(seed, F.col("src"), F.col("dst"))), "_h", "src", "dst"))
+    if ordered.count() >= wanted:
+        return ordered.where(F.col("idx") < wanted).select("src", "dst")
+    return absent_by_rank(ends, sources, targets, n_targets, wanted, seed)
+
+
+def absent_by_rank(ends: DataFrame, sources: DataFrame, targets: DataFrame, n_targets: int, wanted: int, seed: int = 42) -> DataFrame:
+    """(src, dst): ``wanted`` distinct absent pairs, one at random from each of as many equal
+    runs of all absent pairs in order.
+
+    sources and targets are numbered (idx).  A source with g known targets has n - g absent
+    ones.  The j-th known target t (from 0) has t - j absent ones before it, so the q-th
+    absent target is q plus the number of known ones with t - j <= q: a running count over
+    known targets and questions in one order, along ranges, so that a source with very
+    many edges is no task of its own.  Nothing is drawn twice, however full the graph is.
+    """
+    numbered = ends.join(sources.select("src", F.col("idx").alias("s")), "src").join(targets.select("dst", F.col("idx").alias("t")), "dst")
+    known = cut(dense_index(numbered.select("s", "t"), "s", "t", name="edge"))
+    held = known.groupBy("s").agg(F.count("*").alias("n"), F.min("edge").alias("first"))
+    free = cut(prefix_sum(held.withColumn("free", n_targets - F.col("n")), "s", "free", "start"))
+    total = free.agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
+    if not wanted:
+        return ends.limit(0)
+    # Run k of the absent pairs is [k total / wanted, (k + 1) total / wanted).
+    run = F.explode(F.sequence(F.expr(f"start * {wanted} div {total}"), F.expr(f"(start + free - 1) * {wanted} div {total}")))
+    asked = free.where("free > 0").withColumn("k", run)
+    begin, end = F.expr(f"(k * {total} + {wanted - 1}) div {wanted}"), F.expr(f"((k + 1) * {total} + {wanted - 1}) div {wanted}")
+    rank = begin + F.floor(hash_unit(f"{seed}.rank", F.col("k")) * (end - begin)).cast("long")
+    asked = asked.withColumn("q", rank - F.col("start")).where("q >= 0 and q < free").select("s", "q", "k")
+    gaps = known.join(held.select("s", "first"), "s").select("s", (F.col("t") - (F.col("edge") - F.col("first"))).alias("q"), F.col("t").alias("k"))
+    order = lambda kind: F.struct("s", "q", F.lit(kind).alias("kind"), "k")
+    both = gaps.select(order(0).alias("at"), F.lit(1).cast("long").alias("one")).unionByName(asked.select(order(1).alias("at"), F.lit(0).cast("long").alias("one")))
+    counted = prefix_sum(both, "at", "one", "before").where("at.kind = 1").select(F.col("at.s").alias("s"), F.col("at.q").alias("q"), "before")
+    found = counted.join(held.select("s", "first"), "s").select("s", (F.col("q") + F.col("before") - F.col("first")).alias("t"))
+    return found.join(sources.select(F.col("idx").alias("s"), "src"), "s").join(targets.select(F.col("idx").alias("t"), "dst"), "t").select("src", "dst")
 
 
 def _adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -191,6 +191,21 @@ def test_splits_and_negatives(spark):
     assert [tuple(r) for r in G.negative_edges(links, full).collect()] == [("r:0", "i:1")]
 
 
+@pytest.mark.parametrize("missing", [1, 7, 60])
+def test_absent_pairs_of_dense_graphs(spark, missing):
+    """A graph with nearly all of its pairs: the absent ones are found by rank."""
+    import random
+
+    every = [(f"r:{r}", f"i:{i}") for r in range(40) for i in range(30)]
+    gone = set(random.Random(missing).sample(every, missing))
+    known = [e for e in every if e not in gone]
+    links = spark.createDataFrame(known, "src string, dst string")
+    got = [tuple(r) for r in G.negative_edges(links, links).collect()]
+    assert len(got) == missing and set(got) == gone
+    some = [tuple(r) for r in G.negative_edges(links.limit(5), links).collect()]
+    assert len(some) == len(set(some)) == min(5, missing) and set(some) <= gone
+
+
 def test_auc_counts_ties_half(spark):
     rng = np.random.default_rng(2)
     score, label = rng.integers(0, 8, 60) / 8, rng.integers(0, 2, 60)
