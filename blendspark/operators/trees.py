@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendspark.functions import trees
 from blendspark.operators import bags as B
+from blendspark.operators.lineage import cut
 
 
 def substitution_tokens(tree: DataFrame) -> DataFrame:
@@ -159,6 +160,51 @@ def tree_emd_pairs(
     return B.manhattan_pairs(masses, max_distance, pairs, smallest_total)
 
 
+def tree_emd_flows(
+    bags: DataFrame, tree: DataFrame, pairs: DataFrame, free: float = 1.0, other: float = 1.0, least: float = 1e-10
+) -> DataFrame:
+    """(id1, id2, i, j, flow, cost): a cheapest plan that moves the shares of recipe id1 to
+    those of id2 along the tree, for given pairs; flows above ``least``.
+
+    From the leaves up, what a node's subtree has of supply and demand is matched below it
+    as far as it goes, and the rest is handed to the parent: on a tree no plan is cheaper.
+    Inside a node the two sides are laid end to end by ingredient, so a flow is where two
+    stretches overlap.  A pair without a common item is matched at the root.
+    """
+    cells = bags.join(tree.select("ingredient_id", "nodes"), "ingredient_id")
+    side = lambda k: pairs.select("id1", "id2").join(
+        cells.select(F.col("recipe_id").alias(f"id{k}"), "ingredient_id", "nodes", "w"), f"id{k}"
+    ).select("id1", "id2", F.lit(k).alias("side"), "ingredient_id", "nodes", "w")
+    rows, flows = cut(side(1).unionByName(side(2))), []
+    deepest = rows.agg(F.coalesce(F.max(F.size("nodes")), F.lit(0))).first()[0]
+    here = ["id1", "id2", "node"]
+    for level in range(deepest, -1, -1):
+        node = F.get("nodes", F.lit(level - 1)) if level else F.lit(0).cast("long")
+        inside = Window.partitionBy(*here)
+        each = F.sum("w").over(Window.partitionBy(*here, "side").orderBy("ingredient_id"))
+        total = lambda k: F.sum(F.when(F.col("side") == k, F.col("w")).otherwise(0.0)).over(inside)
+        placed = cut(
+            rows.where(F.size("nodes") >= level).withColumn("node", node)
+            .withColumn("end", each).withColumn("begin", F.col("end") - F.col("w")).withColumn("both", F.least(total(1), total(2)))
+        )
+        met = placed.where("both > 0")
+        one = met.where("side = 1").select(*here, F.col("ingredient_id").alias("i"), F.col("begin").alias("b1"), F.col("end").alias("e1"))
+        two = met.where("side = 2").select(*here, F.col("ingredient_id").alias("j"), F.col("begin").alias("b2"), F.col("end").alias("e2"))
+        flow = F.least("e1", "e2") - F.greatest("b1", "b2")
+        flows.append(one.join(two, here).select("id1", "id2", "i", "j", flow.alias("flow")).where(F.col("flow") > least))
+        rest = F.col("end") - F.greatest("begin", "both")
+        open_rows = placed.withColumn("w", rest).where(F.col("w") > least).select(*rows.columns)
+        rows = rows.where(F.size("nodes") < level).unionByName(open_rows)
+    plan = flows[0]
+    for more in flows[1:]:
+        plan = plan.unionByName(more)
+    plan = cut(plan)
+    edges = tree_distance_pairs(tree, plan.select(F.col("i").alias("id1"), F.col("j").alias("id2")).distinct())
+    price = F.col("substitutable") * F.lit(float(free)) + F.col("other") * F.lit(float(other))
+    prices = edges.select(F.col("id1").alias("i"), F.col("id2").alias("j"), price.alias("price"))
+    return plan.join(prices, ["i", "j"]).select("id1", "id2", "i", "j", "flow", (F.col("flow") * F.col("price")).alias("cost"))
+
+
 def substitution_weighted_pairs(
     bags: DataFrame,
     tree: DataFrame,

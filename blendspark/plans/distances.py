@@ -182,6 +182,45 @@ def tree_emd_given_pairs(spark, sf):
     return out.withColumn("d", r6(F.col("d")))
 
 
+def flows_of(spark, sf):
+    return TR.tree_emd_flows(cut(S.matrix(spark, sf)), S.tree(spark, sf), S.recipe_pairs(spark, sf), free=1.0, other=2.0)
+
+
+@query(
+    "tree_emd_flow_totals",
+    S.sql(
+        f"""SELECT id1, id2, {sql6('greatest(a.t + b.t - 2 * coalesce(o, 0), 0)')} AS d, 1.0 AS moved FROM recipe_pairs
+        LEFT JOIN (SELECT id1, id2, sum(least(x.w, y.w)) AS o FROM recipe_pairs JOIN masses x ON x.recipe_id = id1
+            JOIN masses y ON y.recipe_id = id2 AND x.node = y.node GROUP BY ALL) USING (id1, id2)
+        JOIN mass_totals a ON a.recipe_id = id1 JOIN mass_totals b ON b.recipe_id = id2""",
+        **{**_EMD, "masses": _EMD["masses"].format(m="matrix")},
+    ),
+)
+def tree_emd_flow_totals(spark, sf):
+    """The rows of the plans add up to the distance, and move everything."""
+    totals = flows_of(spark, sf).groupBy("id1", "id2").agg(F.sum("cost").alias("d"), F.sum("flow").alias("moved"))
+    return totals.select("id1", "id2", r6(F.col("d")).alias("d"), r6(F.col("moved")).alias("moved"))
+
+
+@query(
+    "tree_emd_flow_sides",
+    S.sql(
+        f"""SELECT id1, id2, ingredient_id, {sql6('sum(a)')} AS gives, {sql6('sum(b)')} AS takes FROM (
+            SELECT id1, id2, ingredient_id, w AS a, 0.0 AS b FROM recipe_pairs JOIN matrix ON recipe_id = id1
+            UNION ALL SELECT id1, id2, ingredient_id, 0.0, w FROM recipe_pairs JOIN matrix ON recipe_id = id2)
+        WHERE id1 IN (SELECT recipe_id FROM matrix) AND id2 IN (SELECT recipe_id FROM matrix) GROUP BY ALL""",
+    ),
+)
+def tree_emd_flow_sides(spark, sf):
+    """What each ingredient gives and takes in a plan: its shares in the two recipes."""
+    flows, zero = flows_of(spark, sf), F.lit(0.0)
+    sides = flows.select("id1", "id2", F.col("i").alias("ingredient_id"), F.col("flow").alias("a"), zero.alias("b")).unionByName(
+        flows.select("id1", "id2", F.col("j").alias("ingredient_id"), zero.alias("a"), F.col("flow").alias("b"))
+    )
+    sums = sides.groupBy("id1", "id2", "ingredient_id").agg(F.sum("a").alias("gives"), F.sum("b").alias("takes"))
+    return sums.select("id1", "id2", "ingredient_id", r6(F.col("gives")).alias("gives"), r6(F.col("takes")).alias("takes"))
+
+
 _SWAPS = {
     "tokens": """SELECT ingredient_id, path AS token FROM tree UNION ALL
         SELECT ingredient_id, parent_path FROM tree WHERE substitution_level = 1 AND parent_path IS NOT NULL""",

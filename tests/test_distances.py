@@ -276,6 +276,37 @@ def test_assignment_solver_on_large_random_squares():
         assert sorted(to) == list(range(n)) and cost[np.arange(n), to].sum() == pytest.approx(best)
 
 
+def test_tree_flows_are_plans_of_the_distance(spark, tree):
+    recipes = random_recipes(9, n=15)
+    bags = matrix_of(spark, recipes)
+    pairs = spark.createDataFrame([(a, b) for a in (0, 1, 2, 4) for b in recipes if a != b], "id1 long, id2 long")
+    want = {(r["id1"], r["id2"]): r["d"] for r in TR.tree_emd_pairs(bags, tree, pairs=pairs, free=1.0, other=2.0).collect()}
+    cost, out, into = {}, {}, {}
+    for r in TR.tree_emd_flows(bags, tree, pairs, free=1.0, other=2.0).collect():
+        key = (r["id1"], r["id2"])
+        cost[key] = cost.get(key, 0) + r["cost"]
+        out[key, r["i"]] = out.get((key, r["i"]), 0) + r["flow"]
+        into[key, r["j"]] = into.get((key, r["j"]), 0) + r["flow"]
+    assert cost.keys() == want.keys() and all(v == pytest.approx(want[k]) for k, v in cost.items())
+    for a, b in want:
+        for i in PATHS:
+            assert out.get(((a, b), i), 0) == pytest.approx(recipes[a].get(i, 0), abs=1e-8)
+            assert into.get(((a, b), i), 0) == pytest.approx(recipes[b].get(i, 0), abs=1e-8)
+
+
+def test_all_pairs_summary(spark):
+    from blendspark.operators import reports as R
+
+    alone = {r: {5: 0.5 + r / 100, 6: 0.5 - r / 100} for r in range(6)}
+    for recipes in (random_recipes(10), alone, {1: {5: 1.0}, 2: {5: 1.0}}, {1: {5: 1.0}}, {1: {5: 1.0}, 2: {6: 1.0}}):
+        bags, members = B.collapse_copies(matrix_of(spark, recipes))
+        row = R.all_pairs_summary(bags, members).first()
+        every = [manhattan(recipes[a], recipes[b]) for a, b in itertools.combinations(recipes, 2)]
+        assert row["n_pairs"] == len(every)
+        got, want = (row["min_d"], row["max_d"], row["mean_d"]), (min(every), max(every), sum(every) / len(every)) if every else (None,) * 3
+        assert got == (pytest.approx(want[0], abs=2e-6), pytest.approx(want[1]), pytest.approx(want[2])) if every else got == want
+
+
 def test_entropic_plans(spark, tree):
     recipes = random_recipes(8, 8)
     uses = matrix_of(spark, recipes).withColumnRenamed("w", "volume_fraction")
