@@ -235,14 +235,11 @@ def association(spark, sf):
     return E.association(met).withColumn("m", r6(F.col("m")))
 
 
-def trained_of(edges):
-    return cut(E.train_embeddings(G.random_walks(edges, p=1.0, q=0.5)))
-
-
 @query("train_embeddings")
 def train_embeddings(spark, sf):
     """64 dimensions from windows of 10 over the walks of ``random_walks``."""
-    return trained_of(edges_of(spark, sf)).select("node", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+    vectors = E.train_embeddings(G.random_walks(edges_of(spark, sf), p=1.0, q=0.5))
+    return vectors.select("node", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 def node_vectors(spark, sf):
@@ -308,7 +305,8 @@ def link_prediction(spark, sf):
     parts = cut(G.split_edges(links))
     known = parts.where("part = 'train'").select("src", "dst")
     both_ways = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    vectors = trained_of(cut(both_ways))
+    walks = G.metapath_walks(cut(both_ways))
+    vectors = cut(E.train_embeddings(walks, window=5))
     absent = cut(G.split_edges(G.negative_edges(links, links)))
     rows = parts.withColumn("label", F.lit(1)).unionByName(absent.withColumn("label", F.lit(0)))
     features = cut(G.edge_features(G.valid_edges(rows), vectors))
