@@ -190,9 +190,9 @@ def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.n
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     index = Index(
         vocabulary, idf, labels, ids,
-        run_of=np.searchsorted(term[first], np.arange(len(idf) + 1)), run_block=row[first] // BLOCK,
+        run_of=np.searchsorted(term[first], np.arange(len(idf) + 1)), run_block=row[first].astype(np.int64) // BLOCK,
         run_max=np.maximum.reduceat(w, first) if len(first) else w, post_of=np.append(first, len(row)),
-        post_row=row, post_weight=w, often=often, full=full, share=share,
+        post_row=row.astype(np.int64), post_weight=w, often=often, full=full, share=share,
     )
     at = np.searchsorted(counts[0], np.arange(len(ids) + 1))
     every = [index.weights(counts[1][a:b], counts[2][a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
