@@ -374,6 +374,39 @@ def median_rescale(spark, sf):
     return C.median_rescale(cut(lopsided(spark, sf))).withColumn("cost", r6(F.col("cost")))
 
 
+_SQUARE = {
+    "levels": LEVELS,
+    "leaf_pairs": "SELECT a.item_id AS id1, b.item_id AS id2 FROM parts a JOIN parts b ON a.item_id <> b.item_id",
+    "leaf_edges": EDGES.format(pairs="leaf_pairs"),
+    "square_costs": "SELECT CAST(substitutable + 10 * (edges - substitutable) AS DOUBLE) AS cost FROM leaf_edges",
+}
+
+
+def square_of(spark, sf):
+    items = S.parts(spark, sf).select(F.col("item_id").alias("ingredient_id"))
+    return C.square_classes(S.tree(spark, sf), items)
+
+
+@query("square_classes", S.sql("SELECT cost, count(*) AS n FROM square_costs GROUP BY cost", **_SQUARE))
+def square_classes(spark, sf):
+    return square_of(spark, sf)
+
+
+@query(
+    "square_rescale",
+    S.sql(f"SELECT i, j, {sql6('cost / (SELECT median(cost) FROM square_costs)')} AS cost FROM lopsided", **_SQL, **{k: v for k, v in _SQUARE.items() if k not in _SQL}),
+)
+def square_rescale(spark, sf):
+    """Rescaled by the median of the whole square of parts."""
+    return C.median_rescale(cut(lopsided(spark, sf)), square=square_of(spark, sf)).withColumn("cost", r6(F.col("cost")))
+
+
+@query("square_dummy", S.sql(f"SELECT {sql6('quantile_cont(cost, 0.85)')} AS price FROM square_costs", **_SQUARE))
+def square_dummy(spark, sf):
+    price = C.class_quantile(square_of(spark, sf), C.DUMMY_QUANTILE)
+    return spark.range(1).select(r6(F.lit(price).cast("double")).alias("price"))
+
+
 @query(
     "dummy_item",
     S.sql(

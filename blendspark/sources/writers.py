@@ -27,9 +27,11 @@ def recipe_batches(recipes: DataFrame, size: int = 100, order: str = "path") ->
 
 
 def write_recipe_batches(recipes: DataFrame, path: str, size: int = 100, order: str = "path") -> None:
-    """One JSON-lines folder per source and batch."""
+    """JSON lines in a folder per source, with ``batch`` in each line.  A file holds many
+    whole batches, in order, so their number is that of the partitions, not of the batches."""
     batched = recipe_batches(recipes, size, order)
-    batched.repartition("source", "batch").write.mode("overwrite").partitionBy("source", "batch").json(path)
+    ordered = batched.repartitionByRange("source", "batch").sortWithinPartitions("source", "batch", order)
+    ordered.write.mode("overwrite").partitionBy("source").json(path)
 
 
 def write_recipes(recipes: DataFrame, path: str) -> None:

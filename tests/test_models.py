@@ -8,6 +8,7 @@ from blendspark.operators import bags as B
 from blendspark.operators import clusters as CL
 from blendspark.operators import costs as C
 from blendspark.operators import factors as FA
+from blendspark.operators import facts as FO
 from blendspark.operators import embeddings as E
 from blendspark.operators import graphs as G
 
@@ -125,6 +126,23 @@ def test_nmf_lowers_the_error(spark):
     assert error < FA.nmf_kl(matrix, k=2, rounds=1)[2]
 
 
+def test_square_classes_against_all_pairs(spark):
+    """Items at every level of the tree, two roots, and one that the tree does not have."""
+    paths = {1: "/1/", 2: "/2/", 5: "/1/5/", 6: "/1/6/", 8: "/2/8/", 11: "/1/5/11/", 12: "/1/5/12/", 13: "/1/6/13/"}
+    level = {1: 0, 2: 1, 5: 1, 6: 0, 8: None, 11: 1, 12: 0, 13: 1}
+    rows = [(i, str(i), p, level[i]) for i, p in paths.items()]
+    tree = FO.load_ingredient_tree(spark.createDataFrame(rows, "ingredient_id long, ingredient_name string, path string, substitution_level int"))
+    items = spark.createDataFrame([(i,) for i in [*paths, 5, 99]], "ingredient_id long")
+    grid = spark.createDataFrame([(i, j) for i in paths for j in paths], "id1 long, id2 long")
+    costs = [r["cost"] for r in C.initial_cost(tree, grid).collect() if r["i"] != r["j"]]
+    classes = C.square_classes(tree, items)
+    got = {r["cost"]: r["n"] for r in classes.collect()}
+    assert got == {c: costs.count(c) for c in set(costs)}
+    for q in (0.0, 0.3, 0.5, 0.85, 1.0):
+        assert C.class_quantile(classes, q) == pytest.approx(np.quantile(costs, q))
+    assert C.class_quantile(classes.limit(0), 0.5) is None
+
+
 def test_fuzzy_edges(spark):
     lists = spark.createDataFrame(
         [(0, 1, 1, 0.1), (0, 2, 2, 0.4), (0, 3, 3, 0.5), (1, 0, 1, 0.1), (1, 2, 2, 0.2), (1, 3, 3, 0.9)],
