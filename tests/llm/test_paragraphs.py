@@ -11,26 +11,27 @@ from blendspark.llm import paragraphs as P
 DATA = "/root/testdata/sf0.01"
 
 
-def windows(text):
-    """(start, stop, shingles) of each paragraph, by the definition."""
-    found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
-    capital = lambda w: re.match("[A-ZÀ-Þ]", w) is not None
-    low = [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w, _, _ in found]
-    out = []
-    for i in range(len(found) - P.WINDOW + 1):
-        before = found[i - 1] if i else None
-        if (
-            before is None or before[0][-1] in ".!?" or "\n" in text[before[2]:found[i][1]]
-            or capital(found[i][0]) and not capital(before[0])
-        ):
-            part = low[i:i + P.WINDOW]
-            out.append((found[i][1], found[i + P.WINDOW - 1][2], frozenset(tuple(part[k:k + 5]) for k in range(P.WINDOW - 4))))
+def tokens(text):
+    """(start, stop, word in small letters) of each word."""
+    low = lambda w: re.sub("[A-Z]", lambda m: m.group().lower(), w)
+    return [(m.start(), m.end(), low(m.group())) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def lines_of(text, least=P.LEAST):
+    """(start, stop, shingles) of each line of so many words."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        found = tokens(line)
+        if len(found) >= max(least, 5):
+            low = [w for _, _, w in found]
+            out.append((at + found[0][0], at + found[-1][1], frozenset(tuple(low[k:k + 5]) for k in range(len(low) - 4))))
+        at += len(line) + 1
     return out
 
 
-def brute(texts):
-    """{(doc, start, stop)} of the paragraphs in components that a smaller doc keeps."""
-    nodes = [(d, *w) for d, t in sorted(texts.items()) for w in windows(t)]
+def near_lines(texts, least=P.LEAST):
+    """{(doc, start, stop)} of the lines in components that a smaller doc has a line of."""
+    nodes = [(d, *w) for d, t in sorted(texts.items()) for w in lines_of(t, least)]
     parent = list(range(len(nodes)))
 
     def root(i):
@@ -52,10 +53,38 @@ def brute(texts):
                     both = len(nodes[a][3] & nodes[b][3])
                     if 100 * both >= 80 * (len(nodes[a][3]) + len(nodes[b][3]) - both):
                         parent[max(root(a), root(b))] = min(root(a), root(b))
-    least = {}
+    least_doc = {}
     for i, x in enumerate(nodes):
-        least[root(i)] = min(least.get(root(i), x[0]), x[0])
-    return {(x[0], x[1], x[2]) for i, x in enumerate(nodes) if x[0] > least[root(i)]}
+        least_doc[root(i)] = min(least_doc.get(root(i), x[0]), x[0])
+    return {(x[0], x[1], x[2]) for i, x in enumerate(nodes) if x[0] > least_doc[root(i)]}
+
+
+def repeated(texts, n):
+    """{(doc, start, stop)} of every run of n words that a smaller doc has too."""
+    first, out = {}, set()
+    for d, t in sorted(texts.items()):
+        found = tokens(t)
+        for i in range(len(found) - n + 1):
+            run = tuple(w for _, _, w in found[i:i + n])
+            if first.setdefault(run, d) < d:
+                out.add((d, found[i][0], found[i + n - 1][1]))
+    return out
+
+
+def check(texts, rows, bar=0.95):
+    """Of what 50 words in a row repeat, nearly all goes (but up to four words at either
+    end); nothing goes that does not repeat.  Returns the share of the characters of
+    repeated runs that goes."""
+    black = lambda cs: {(d, i) for d, i in cs if not texts[d][i].isspace()}
+    got = black(chars((r.doc_id, r.start, r.stop) for r in rows))
+    lines = black(chars(near_lines(texts)))
+    assert len(got & lines) >= 0.97 * len(lines)
+    assert got <= lines | black(chars(repeated(texts, P.RUN)))
+    runs = black(chars(repeated(texts, P.GAP + P.RUN - 1)))
+    assert {d for d, _ in runs} <= {d for d, _ in got}
+    share = len(got & runs) / len(runs)
+    assert share >= bar
+    return share
 
 
 def chars(rows):
@@ -91,8 +120,8 @@ def test_planted_passages(spark, tmp_path):
     got = P.repeated_spans(docs).collect()
     named = {r.doc_id for r in got} | {r.kept_doc_id for r in got}
     assert named == holders | {103}
-    covered, want = chars([(r.doc_id, r.start, r.stop) for r in got]), chars(brute(texts))
-    assert covered <= want and len(covered) >= 0.98 * len(want)
+    check(texts, got)
+    covered = chars((r.doc_id, r.start, r.stop) for r in got)
     cleaned = {r.doc_id: r.text for r in P.without_repeats(docs).collect()}
     for d, t in texts.items():
         gone = {i for k, i in covered if k == d}
@@ -105,9 +134,49 @@ def test_query_against_all_pairs(spark):
     from blendspark.llm.queries import QUERIES
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = chars([(r.doc_id, r.start, r.stop) for r in QUERIES["op5_paragraph_minhash"](spark, DATA).collect()])
-    want = chars(brute(texts))
-    assert got <= want and len(got) >= 0.98 * len(want)
+    print("share of repeated runs removed", check(texts, QUERIES["op5_paragraph_minhash"](spark, DATA).collect()))
+
+
+def write(spark, folder, texts):
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+@pytest.mark.parametrize("letters", ["abcdefg", "абвгдежз", "の本日人大中国"])
+def test_passages_without_sentences_in_any_script(spark, tmp_path, letters):
+    rng = random.Random(5)
+    make = lambda n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    passages = [make(50) for _ in range(20)]
+    texts = {d: f"{make(rng.randrange(60))} {passages[d % 20]} {make(rng.randrange(60))}" for d in range(60)}
+    texts |= {100 + d: make(100) for d in range(10)}
+    rows = P.repeated_spans(write(spark, tmp_path / "d", texts)).collect()
+    assert {r.doc_id for r in rows} == set(range(20, 60)) and all(r.kept_doc_id == r.doc_id % 20 for r in rows)
+    check(texts, rows, bar=0.9)
+
+
+def test_edited_lines_and_short_lines(spark, tmp_path):
+    rng = random.Random(6)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = make(80)
+    edited = [*base[:40], "other", *base[41:]]
+    short = " ".join(make(8))
+    texts = {
+        1: " ".join(base) + "\n" + short, 2: " ".join(make(40)) + "\n" + " ".join(edited), 3: short + "\n" + " ".join(make(40)), 4: " ".join(make(9)),
+        5: None, 6: "", 7: "x " * 200_000,
+    }
+    docs = write(spark, tmp_path / "d", texts)
+    rows = P.repeated_spans(docs).collect()
+    assert [(r.doc_id, r.kept_doc_id, texts[2][r.start:r.stop]) for r in rows] == [(2, 1, " ".join(edited))]
+    assert {r.doc_id for r in P.repeated_spans(docs, least=5).collect()} == {2, 3}
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (4, text), (None, text), (4, text)], "doc_id long, text string").repartition(1)
+    docs.write.parquet(str(tmp_path / "d"))
+    rows = P.repeated_spans(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["4", "None", "None"] and {r.kept_doc_id for r in rows} == {4}
+    assert {(r.start, r.stop) for r in rows} == {(0, len(text))}
 
 
 def test_bands_reach_the_recall():
