@@ -294,6 +294,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """row, id, start, stop, keeper (id, row) of the lines of a component that an earlier
     document has a line of."""
     found = cut(paragraphs(docs, least))
+    release(docs.sparkSession)  # what came before may only go now
     found = found.withColumn("place", F.struct("id", "row"))
     key = ["d1", "d2"]
     # Equal sets have equal keys.  The least place of a class stands for it.
@@ -302,6 +303,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
             F.min(F.struct("place", "start")).alias("first"), F.max("place").alias("last"), F.any_value("keys").alias("keys")
         ).withColumn("node", F.xxhash64(*key))
     )
+    found = cut(found.drop("keys"))
+    release(docs.sparkSession)
     keyed = classes.select("node", F.explode("keys").alias("s"))
     colliding = keyed.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
     keyed = cut(keyed.join(colliding, "s", "left_semi"))
