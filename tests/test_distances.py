@@ -294,6 +294,35 @@ def test_tree_flows_are_plans_of_the_distance(spark, tree):
             assert into.get(((a, b), i), 0) == pytest.approx(recipes[b].get(i, 0), abs=1e-8)
 
 
+def test_pairs_move_as_one_row(spark, tree):
+    """Costs that are grouped by pair are not shuffled again; flows and swaps are told where
+    the pair is, and nothing is written for them."""
+    bags = matrix_of(spark, random_recipes(3))
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(30) if a != b], "id1 long, id2 long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shuffles = lambda df: plan(df).count("Exchange hashpartitioning")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        costs = TR.ingredient_costs(bags.withColumnRenamed("w", "volume_fraction"), pairs, tree)
+        assert shuffles(costs.groupBy("r1", "r2").agg(F.sum("k"))) == shuffles(costs) > 0
+        for out in (TR.tree_emd_flows(bags, tree, pairs), TR.substitution_weighted_pairs(bags, tree, pairs=pairs)):
+            assert plan(out).split("Exchange")[0].count("ArrowEvalPython") == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_with_one_or_no_known_side(spark, tree):
+    bags = matrix_of(spark, {1: {5: 0.6, 6: 0.4}, 2: {5: 0.3, 99: 0.7}})  # 99 is not in the tree
+    pairs = spark.createDataFrame([(1, 2), (1, 77), (77, 2), (78, 79)], "id1 long, id2 long")
+    got = {(r["id1"], r["id2"]): r["d"] for r in TR.substitution_weighted_pairs(bags, tree, pairs=pairs, weight=0.1).collect()}
+    # 5 and 6 are siblings at level 1: both take the joint difference, 0.1 * |0.3 + 0.4|
+    assert got == {(1, 2): pytest.approx(0.7 + 0.07 + 0.07), (1, 77): pytest.approx(1.0), (77, 2): pytest.approx(1.0)}
+    assert {(r["id1"], r["id2"]) for r in TR.tree_emd_flows(bags, tree, pairs).collect()} <= {(1, 2)}
+
+
 def test_all_pairs_summary(spark):
     from blendspark.operators import reports as R
 
