@@ -224,6 +224,27 @@ def test_absent_pairs_of_dense_graphs(spark, missing):
     assert len(some) == len(set(some)) == min(5, missing) and set(some) <= gone
 
 
+def test_negatives_are_the_first_draws(spark, monkeypatch):
+    """The first in the hashed order of all draws, of which only these and a few more are written."""
+    import hashlib
+
+    links = spark.range(6000).selectExpr("concat('r:', id % 3000) src", "concat('i:', (id * 7919) % 2503) dst").distinct()
+    known = {tuple(r) for r in links.collect()}
+    sources, targets = (sorted({e[k] for e in known}) for k in (0, 1))
+    unit = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:12], 16) / 16**12
+    drawn = {
+        (sources[int(unit("42.s", *e, t) * len(sources))], targets[int(unit("42.t", *e, t) * len(targets))]) for e in known for t in (1, 2, 3)
+    } - known
+    want = sorted(drawn, key=lambda e: (hashlib.md5("|".join(("42", *e)).encode()).hexdigest(), *e))[:len(known)]
+    written, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(real(df)) or written[-1])
+    got = [tuple(r) for r in G.negative_edges(links, links).collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    assert max(df.count() for df in written) < 1.5 * len(known)
+    monkeypatch.setattr(G, "_share_of_draws", lambda *_: 0.01)  # too few at first: more are taken
+    assert {tuple(r) for r in G.negative_edges(links, links).collect()} == set(want)
+
+
 def test_auc_counts_ties_half(spark):
     rng = np.random.default_rng(2)
     score, label = rng.integers(0, 8, 60) / 8, rng.integers(0, 2, 60)
