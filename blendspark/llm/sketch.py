@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +60,28 @@ def as_text(s: Column) -> Column:
     return F.concat(F.hex(s["tag"]), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda x: F.lower(F.hex(x))), ","))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, anything) with the struct ``next``: doc_id, text and the rest
-    of the next row by doc_id (after the last: the first).
+def with_next(rows: DataFrame, **more: Callable[[Column], Column]) -> DataFrame:
+    """rows (doc_id, text) with columns made of the text, and the struct ``next``: doc_id,
+    text and these columns of the next row by doc_id (after the last: the first).
 
     Rows are dealt to ranges of doc_id and led inside each; the first row of each
-    range goes to the range before it.  Rows move once.  Null ids come first, rows
-    that repeat an id follow each other by text; a single row is its own next.
+    range goes to the range before it.  Rows move once, and only ids are looked through for
+    the first ones.  Null ids come first, rows that repeat an id follow each other by text;
+    a single row is its own next.
     """
     ids = rows.select("doc_id")
     bounds = range_bounds(ids, "doc_id", ranges_for(rows) * 4, ids.count())
-    ranged = rows.select(F.struct("doc_id", "text", *[c for c in rows.columns if c not in ("doc_id", "text")]).alias("row"))
-    ranged = ranged.withColumn("part", range_of(F.col("row.doc_id"), bounds))
-    led = ranged.selectExpr("*", "lead(row) over (partition by part order by row.doc_id nulls first, row.text) as led")
+    ranged = rows.select("doc_id", "text", range_of(F.col("doc_id"), bounds).alias("part"))
+    whole = F.struct("doc_id", "text", *[make(F.col("text")).alias(name) for name, make in more.items()])
+    led = ranged.select(whole.alias("row"), "part").selectExpr("*", "lead(row) over (partition by part order by row.doc_id nulls first, row.text) as led")
     # One row a range: the number of ranges is fixed by the shuffle setting.
+    lowest = ranged.groupBy("part").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    least = F.when(F.col("nulls") == 0, F.col("least")).alias("least")
+    first = ranged.join(F.broadcast(lowest.select("part", least)), "part").where(F.col("doc_id").eqNullSafe(F.col("least")))
     heads = (
-        ranged.groupBy("part").agg(F.min("row").alias("own"))
-        .selectExpr("own", "lag(part) over (order by part) as before", "max(part) over () as last")
-        .selectExpr("coalesce(before, last) as part", "own")
+        first.groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+        .selectExpr("doc_id", "text", "lag(part) over (order by part) as before", "max(part) over () as last")
+        .select(F.expr("coalesce(before, last)").alias("part"), whole.alias("own"))
     )
     return led.join(heads, "part").select("row.*", F.coalesce("led", "own").alias("next"))
 
@@ -93,9 +99,9 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     Each whole text (null: empty) and its edited text are sketched once; the sketch of
     the next document comes with its row.  Extra columns are ignored.
     """
-    rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("sketch", sketch(F.col("text"), scale))
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
     both = (
-        with_next(rows)
+        with_next(rows, sketch=lambda text: sketch(text, scale))
         .withColumn("edited_text", edited(F.col("text"), F.col("next.text")))
         .withColumn("edited_sketch", sketch(F.col("edited_text"), scale))
     )

@@ -50,6 +50,18 @@ def test_odd_rows(spark):
     assert sketch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_next_rows_over_ranges(spark):
+    """Many ranges, null and repeated ids; columns of the text come with the next row."""
+    rows = [(i, f"t{i}") for i in range(0, 400, 2)] + [(None, "b"), (None, "a"), (10, "t0"), (398, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = {(r.doc_id, r.text): r for r in sketch.with_next(docs, big=F.upper).collect()}
+    assert len(got) == len(want)
+    for here, after in zip(want, want[1:] + want[:1]):
+        row = got[here]
+        assert row.big == here[1].upper() and tuple(row.next) == (*after, after[1].upper())
+
+
 def test_whole_scale_is_exact_and_merges(spark):
     a, b = "a b c d e f g h i", "c d e f g h i j k"
     row = spark.createDataFrame([(a, b)], "a string, b string").select(
