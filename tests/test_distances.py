@@ -294,6 +294,19 @@ def test_tree_flows_are_plans_of_the_distance(spark, tree):
             assert into.get(((a, b), i), 0) == pytest.approx(recipes[b].get(i, 0), abs=1e-8)
 
 
+def test_cost_grid_tells_pairs_one_way(spark):
+    from blendspark.operators import costs as C
+
+    recipes = random_recipes(4)
+    pairs = [(a, b) for a in range(8) for b in range(12) if a < b]
+    grid = C.cost_grid(matrix_of(spark, recipes), spark.createDataFrame(pairs, "id1 long, id2 long"))
+    met = {(i, j) for a, b in pairs for i in recipes[a] for j in recipes[b]}
+    rows = [tuple(r) for r in grid.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == met | {(j, i) for i, j in met} | {(i, i) for items in recipes.values() for i in items}
+    assert "least(i" in grid._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pairs_move_as_one_row(spark, tree):
     """Costs that are grouped by pair are not shuffled again; flows and swaps are told where
     the pair is, and nothing is written for them."""
