@@ -192,6 +192,16 @@ def test_exact_step_odds(spark):
         assert len(firsts) == 3000 and abs(back - 1 / (1 + 2 * ahead)) < 0.03
 
 
+def test_a_walk_draws_on_only_where_nothing_came_of_the_first(spark, monkeypatch):
+    """One draw a walk, then the rest of the attempt for those that still stand."""
+    edges, made, sequence = star(spark), [], F.sequence
+    monkeypatch.setattr(G.F, "sequence", lambda *ends: made.append(str(sequence(*ends))) or sequence(*ends))
+    walks = G.random_walks(edges, walk_length=3, walks_per_node=3, p=4.0, q=0.25).collect()
+    assert {len(w["nodes"]) for w in walks} == {3}
+    ends = [m[m.index("(") + 1 : m.index(")")].replace(" ", "") for m in made]
+    assert "1,1" in ends and "2,8" in ends and "1,8" not in ends
+
+
 def test_metapath_starts_at_recipes_and_alternates(spark):
     for w in G.metapath_walks(star(spark), 5, 2).collect():
         assert [n[0] for n in w["nodes"]] == ["r", "i", "r", "i", "r"]
