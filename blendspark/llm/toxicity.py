@@ -130,7 +130,9 @@ class Index:
         rest = best_first[len(first):]
         rest = rest[bound[rest] >= least - 1e-11]
         if least <= 0 or len(rest):
-            scores += self._scores(run, by_run, rest[bound[rest] > 0], blocks, frequent)
+            rest = rest[bound[rest] > 0]
+            most = 2 * len(rest) > blocks
+            scores += self._whole(term, w, rest, blocks, frequent) if most else self._scores(run, by_run, rest, blocks, frequent)
         scores = np.round(scores, 12)
         if skip >= 0:
             scores[skip] = 0
@@ -153,6 +155,18 @@ class Index:
         scores = np.bincount(self.post_row[post], self.post_weight[post] * np.repeat(by_run, n), len(self.labels))
         return scores + np.where(np.repeat(wanted, BLOCK)[:len(scores)], frequent, 0)
 
+    def _whole(self, term: np.ndarray, w: np.ndarray, chosen: np.ndarray, blocks: int, frequent: np.ndarray) -> np.ndarray:
+        """The same, where most blocks are chosen: a term's postings lie together, so they are
+        taken as one range, and the other blocks are left out at the end."""
+        wanted = np.zeros(blocks, dtype=bool)
+        wanted[chosen] = True
+        first, last = self.post_of[self.run_of[term]], self.post_of[self.run_of[term + 1]]
+        post = _ranges(first, last - first)
+        weight = self.post_weight.take(post)
+        weight *= np.repeat(w, last - first)
+        scores = np.bincount(self.post_row.take(post), weight, len(self.labels))
+        return np.where(np.repeat(wanted, BLOCK)[:len(scores)], scores + frequent, 0)
+
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic labels among neighbours, by squared cosine."""
         near = cosines * cosines
@@ -165,7 +179,9 @@ class Index:
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (n[0] of them), then first[1], ..."""
     before = np.cumsum(n) - n
-    return np.repeat(first - before, n) + np.arange(int(n.sum()))
+    out = np.arange(int(n.sum()))
+    out += np.repeat(first - before, n)
+    return out
 
 
 def build(ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, counts: tuple[np.ndarray, ...], share: float) -> Index:

@@ -69,6 +69,22 @@ def test_search_is_exact():
             assert len(rows) == min(k, (want > 1e-12).sum())
 
 
+def test_many_blocks_are_scored_in_one_pass(monkeypatch):
+    """Where the bounds skip few blocks, only the first look goes by runs; the scores are the same to the last bit."""
+    index, _, dense = random_index()
+    blocks, looks, by_runs = -(-len(index.labels) // toxicity.BLOCK), [], toxicity.Index._scores
+    monkeypatch.setattr(toxicity.Index, "_scores", lambda self, *a: looks.append(len(a[2])) or by_runs(self, *a))
+    count = np.random.default_rng(5).poisson(0.1, dense.shape[1])
+    term, w = index.weights(np.flatnonzero(count), count[count > 0])
+    index.nearest(term, w, k=80)
+    assert looks == [1]
+    runs = index.run_of[term + 1] - index.run_of[term]
+    run, frequent = toxicity._ranges(index.run_of[term], runs), index.frequent([(term, w)])[0]
+    for chosen in (np.arange(blocks), np.array([blocks - 1])):
+        whole = index._whole(term, w, chosen, blocks, frequent)
+        assert (whole == by_runs(index, run, np.repeat(w, runs), chosen, blocks, frequent)).all()
+
+
 def test_search_without_terms():
     index, _, _ = random_index()
     none = np.zeros(0, np.int64)
