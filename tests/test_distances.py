@@ -375,3 +375,12 @@ def test_small_eps_does_not_underflow():
     assert plan.sum() == pytest.approx(1.0) and plan[0, 0, 1] == pytest.approx(0.5, abs=1e-3)
     soft = TP.entropic_plans(a, b, cost, 3e-3, 500, 0.1)
     assert 0 <= soft.sum() < 1
+
+
+def test_families_that_lack_too_much_are_no_candidates(spark):
+    """Either side has 0.8 in the shared family: enough alone, not for both at a bound of 0.25."""
+    recipes = {1: {1: 0.8, 2: 0.2}, 2: {1: 0.8, 3: 0.2}, 3: {1: 0.9, 4: 0.1}, 4: {1: 0.9, 5: 0.1}}
+    bags = matrix_of(spark, recipes)
+    need = lambda *_: F.lit(0.75)
+    pairs = {(r["id1"], r["id2"]) for r in B.near_overlaps(bags, need, need, 0.25).collect()}
+    assert pairs == {(3, 4)}
