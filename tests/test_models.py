@@ -11,6 +11,7 @@ from blendspark.operators import factors as FA
 from blendspark.operators import facts as FO
 from blendspark.operators import embeddings as E
 from blendspark.operators import graphs as G
+from blendspark.operators.lineage import dealt
 
 M = 6
 
@@ -324,3 +325,13 @@ def test_embeddings_tell_groups_apart(spark):
     far = np.mean([got[f"r:{r}"] @ got[f"i:{i + 10 * (1 - r % 2)}"] for r in range(20) for i in range(4)])
     assert near > far + 0.2
     assert E.train_embeddings(spark.createDataFrame([], "walk string, nodes array<string>"), 4).count() == 0
+
+
+def test_dealt_rows_stay_where_they_are(spark):
+    rows = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    left = spark.range(100).select(F.col("id").alias("k"), F.lit(1).alias("one"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    out = left.join(dealt(rows, "k").hint("merge"), "k")
+    assert out.count() == 1000 and spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1, plan
