@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,12 +47,27 @@ def release(spark) -> None:
     """Let go of the shuffle, broadcast and checkpoint files of finished steps, and of the
     driver's free memory.  Spark's cleaner drops the files once the driver has collected the
     garbage that refers to them, which a driver with little to do seldom does by itself."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give this process's free memory back."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim is not None:
-        trim(0)
-    spark.sparkContext._jvm.System.gc()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if give is not None:
+        give(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over Arrow batches that leaves no free memory with its worker at the end of a
+    task: workers are kept, and the next step would come on top of it."""
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return whole
 
 
 def ranges_for(docs: DataFrame) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from blendspark.llm import words
 from blendspark.llm.components import components
-from blendspark.llm.frames import fresh, listed, release, text_of
+from blendspark.llm.frames import fresh, listed, release, text_of, tidied
 from blendspark.operators.lineage import cut
 
 WORDS = 5
@@ -71,6 +71,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     """row, doc_id, n, d1, d2, low: number and digest of each row's set, and the part of
     it with the lowest hashes."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, low = [], [], [], []
@@ -113,6 +114,7 @@ def marks_of(sets: list[np.ndarray]) -> list[pa.Array]:
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, n, hashes and signature of the given rows of docs."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text")))
@@ -140,6 +142,7 @@ def index(sets: DataFrame) -> DataFrame:
     """s, node: a row for each shingle of each set's prefix; written."""
     held = sets.sparkSession.sparkContext.broadcast(frequent(sets))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = held.value
         for batch in batches:

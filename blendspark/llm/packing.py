@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendspark.llm import words
-from blendspark.llm.frames import SAMPLES_PER_RANGE, range_of, ranges_for, text_of
+from blendspark.llm.frames import SAMPLES_PER_RANGE, range_of, ranges_for, text_of, tidied
 
 LENGTH = 2048
 #: The token after each document.
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, path: str | None = None, added: bool = False) -> DataF
     and the pipeline ask for it.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId())
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendspark.llm import words
-from blendspark.llm.frames import listed, release, text_of
+from blendspark.llm.frames import listed, release, text_of, tidied
 from blendspark.llm.labels import training_labels
 from blendspark.llm.packing import curve_keys
 
@@ -296,6 +296,7 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
     Each task sends one row per term it met; the vocabulary is as large as the sample."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros(len(held.value.hashes), np.int64), 0
         for batch in batches:
@@ -312,14 +313,22 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
     return df[:-1], int(df[-1])
 
 
-def _votes(index: Index, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """(vote, nearest examples, their cosines) of each text."""
-    for _, data, offsets in words.slices(texts):
+def _votes(index: Index, texts: pa.Array) -> Iterator[tuple[int, Iterator[tuple[float, np.ndarray, np.ndarray]]]]:
+    """For each slice its first row and (vote, nearest examples, their cosines) of each text."""
+    for first, data, offsets in words.slices(texts):
         row, term, count = index.vocabulary.counts(data, offsets)
         at = np.searchsorted(row, np.arange(len(offsets)))
         weighed = [index.weights(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        for rows, cosines in _found(index, weighed):
-            yield index.vote(rows, cosines), rows, cosines
+        yield first, ((index.vote(rows, cosines), rows, cosines) for rows, cosines in _found(index, weighed))
+
+
+def _clean(index: Index, batches: Iterator[pa.RecordBatch], at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text (column ``at``) scores below the threshold, slice by slice: of a
+    batch of long texts no second copy is made."""
+    for batch in batches:
+        for first, found in _votes(index, batch.column(at)):
+            votes = np.array([v for v, *_ in found], dtype=float)
+            yield batch.slice(first, len(votes)).filter(pa.array(index.score(votes) < threshold))
 
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
@@ -333,11 +342,12 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
             votes, seen = [], []
-            for vote, rows, cosines in _votes(index, batch.column("text")):
+            for vote, rows, cosines in (one for _, found in _votes(index, batch.column("text")) for one in found):
                 votes.append(vote)
                 seen.append([
                     {"doc_id": int(index.ids[r]), "toxic": int(index.labels[r]), "cosine": float(c)}
@@ -358,9 +368,8 @@ def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes = np.array([v for v, *_ in _votes(held.value, batch.column(at))], dtype=float)
-            yield batch.filter(pa.array(held.value.score(votes) < threshold))
+        return _clean(held.value, batches, at, threshold)
 
     return docs.mapInArrow(run, docs.schema)

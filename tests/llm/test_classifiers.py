@@ -3,10 +3,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from blendspark.llm import frames, quality, toxicity, words
 from blendspark.llm import labels as L
-from blendspark.llm import quality, toxicity
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -153,3 +154,18 @@ def test_frequent_terms_leave_the_search_exact():
         term = np.flatnonzero(held[i])
         _, cosines = index.nearest(*index.weights(term, np.ones(len(term))), k=20)
         np.testing.assert_allclose(cosines, np.sort(unit @ unit[i])[::-1][:20], atol=1e-9)
+
+
+def test_clean_rows_come_slice_by_slice(monkeypatch):
+    index = random_index()[0]
+    monkeypatch.setattr(words, "SLICE", 64)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([None, "", "abc " * 9, "d"] * 10)], ["doc_id", "text"])
+    parts = list(toxicity._clean(index, iter([rows]), 1, 2.0))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows])) and max(len(p) for p in parts) < 10
+    assert sum(len(p) for p in toxicity._clean(index, iter([rows]), 1, 0.0)) == 0
+
+
+def test_a_task_gives_free_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(frames, "trim", lambda: done.append(True))
+    assert list(frames.tidied(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and done == [True]
