@@ -14,6 +14,7 @@ from blendspark.operators import matching as MT
 from blendspark.operators import matrix as M
 from blendspark.operators import pages as P
 from blendspark.operators import reports as R
+from blendspark.plans import inputs
 from blendspark.sources import readers, writers
 
 
@@ -201,3 +202,15 @@ def test_fetch_logs(spark):
     assert rows(P.fold_fetch_log(log)) == [("a", 199, 180, 3, 196), ("b", 6, 5, 1, 1)]
     candidates = spark.createDataFrame([(1,), (1,), (250,), (3,)], "id long")
     assert rows(P.plan_fetch(candidates, spark.createDataFrame([(3,)], "id long"))) == [(1, 0), (250, 2)]
+
+
+def test_edges_are_made_once_for_both_tables(spark, monkeypatch):
+    bags = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0)], "recipe_id long, ingredient_id long, w double")
+    plans, write = [], inputs.writers.write_edge_tables
+    monkeypatch.setattr(inputs, "bags_of", lambda *a: (bags, None))
+    monkeypatch.setattr(inputs.writers, "write_edge_tables", lambda nodes, edges, path: (
+        plans.extend(t._jdf.queryExecution().optimizedPlan().toString() for t in (nodes, edges)), write(nodes, edges, path)
+    ))
+    got = sorted(tuple(r) for r in inputs.edge_tables(spark, "").fillna(0, ["id2"]).fillna("", ["only1"]).collect())
+    assert got == [("edge", 1, 2, "2"), ("node", 1, 0, ""), ("node", 2, 0, "")]
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
