@@ -11,6 +11,8 @@ from blendspark.operators import factors as FA
 from blendspark.operators import facts as FO
 from blendspark.operators import embeddings as E
 from blendspark.operators import graphs as G
+from blendspark.operators import neighbours as N
+from blendspark.operators import transport as TP
 from blendspark.operators.lineage import dealt
 
 M = 6
@@ -83,6 +85,43 @@ def test_fit_keeps_the_table_sane(spark, toy):
     assert same < different
 
 
+def test_fit_ranks_all_pairs_anew(spark, toy):
+    """Without given pairs, the same as with all of them."""
+    bags, prior, pairs = toy
+    given, changes = C.fit_costs(bags, pairs, prior, rounds=2, smoothing=0.05, iterations=100, k=3)
+    every, same = C.fit_costs(bags, None, prior, rounds=2, smoothing=0.05, iterations=100, k=3)
+    assert np.allclose(square(every), square(given), atol=1e-9) and same == pytest.approx(changes)
+
+
+def test_no_nearest_recipe_escapes_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(TP, "AT_ONCE", 64)
+    rng = np.random.default_rng(3)
+    n, m, k = 60, 12, 4
+    weights = [{int(i): float(w) for i, w in zip(rng.choice(m, 3, replace=False), rng.dirichlet(np.ones(3)))} for _ in range(n)]
+    bags = spark.createDataFrame([(r, i, w) for r, row in enumerate(weights) for i, w in row.items()], "recipe_id long, ingredient_id long, w double")
+    c = rng.random((m, m)) * 2
+    c = c + c.T
+    np.fill_diagonal(c, 0)
+    cost = spark.createDataFrame([(i, j, float(c[i, j])) for i in range(m) for j in range(m)], "i long, j long, cost double")
+    all_pairs = spark.createDataFrame([(r, s) for r in range(n) for s in range(r + 1, n)], "id1 long, id2 long")
+    whole = TP.entropic_ot_pairs(C.pair_costs(bags, all_pairs, cost), "k", 0.05, 100)
+    bounded = C.nearest_by_transport(bags, cost, k, 0.05, 100)
+    lists = lambda rows: {(r["id"], r["rank"]): (r["neighbour"], round(r["d"], 9)) for r in N.knn(rows.selectExpr("r1 id1", "r2 id2", "d"), k).collect()}
+    assert lists(bounded) == lists(whole) and len(lists(whole)) == n * k
+    assert bounded.count() < n * (n - 1) / 2
+
+
+def test_square_cost_has_every_two_items(spark):
+    """Also those that no near recipes bring together, and at the same price."""
+    rows = [(1, "t", "/1/", 0), (2, "u", "/2/", 0), (11, "a", "/1/11/", 1), (12, "b", "/1/12/", 0), (21, "c", "/2/21/", 1)]
+    tree = FO.load_ingredient_tree(spark.createDataFrame(rows, "ingredient_id long, ingredient_name string, path string, substitution_level int"))
+    items = spark.createDataFrame([(11,), (12,), (21,), (11,)], "ingredient_id long")
+    got = {(r["i"], r["j"]): r["cost"] for r in C.square_cost(tree, items).collect()}
+    grid = spark.createDataFrame([(a, b) for a in (11, 12, 21) for b in (11, 12, 21)], "id1 long, id2 long")
+    want = {(r["i"], r["j"]): r["cost"] for r in C.initial_cost(tree, grid).collect()}
+    assert got == want and got[11, 12] == 11.0 and got[11, 21] == 22.0 and len(got) == 9
+
+
 def test_fit_with_dummy(spark, toy):
     bags, prior, pairs = toy
     cost, _ = C.fit_costs(bags, pairs, prior, rounds=1, smoothing=0.1, iterations=50, dummy=2.0)
