@@ -276,6 +276,17 @@ def test_assignment_solver_on_large_random_squares():
         assert sorted(to) == list(range(n)) and cost[np.arange(n), to].sum() == pytest.approx(best)
 
 
+@pytest.mark.parametrize("most", [10, 2])
+def test_assignments_of_a_stack_are_those_of_its_squares(monkeypatch, most):
+    monkeypatch.setattr(TP, "MOST_ROWS", most)
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 4, 6):
+        costs = rng.integers(0, 5, (40, n, n)).astype(float)  # with ties
+        for cost, to in zip(costs, TP.cheapest_assignments(costs)):
+            best = TP.cheapest_assignment(cost)
+            assert sorted(to) == list(range(n)) and cost[np.arange(n), to].sum() == pytest.approx(cost[np.arange(n), best].sum())
+
+
 def test_tree_flows_are_plans_of_the_distance(spark, tree):
     recipes = random_recipes(9, n=15)
     bags = matrix_of(spark, recipes)
