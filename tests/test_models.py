@@ -1,6 +1,7 @@
 """Learned costs, clusters, factors and graphs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,13 @@ def test_fuzzy_edges(spark):
     assert all(0 < v <= 1 for v in got.values())
 
 
+def test_scales_of_lists_without_spark_rows():
+    lists = pa.array([[0.1, 0.4, 0.5], [], [2.0], [0.3] * 4], pa.list_(pa.float64()))
+    first, none, one, same = FA._scales(lists, 64).to_pylist()
+    assert sum(np.exp(-(d - 0.1) / first) for d in (0.1, 0.4, 0.5)) == pytest.approx(np.log2(3), abs=1e-9)
+    assert none is None and one == pytest.approx(1e-6) and same == pytest.approx(1e-6)
+
+
 def star(spark):
     """One hub ingredient in every recipe, some others."""
     rows = [(r, 0, 1.0) for r in range(12)] + [(r, 1 + r % 3, 1.0) for r in range(12)]
