@@ -201,6 +201,30 @@ def test_tiles_of_hot_items_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, N.nearest_recipes(bags, members, 3).collect())) == lists
 
 
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_cells_that_meet_themselves_move_once(spark, monkeypatch, tile):
+    monkeypatch.setattr(B, "TILE", tile)
+    recipes = random_recipes(5)
+    bags, _ = B.collapse_copies(matrix_of(spark, recipes))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = B.manhattan_pairs(bags, 1.0)
+        got = {(r["id1"], r["id2"]): r["d"] for r in out.collect()}
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    kept = {r[0] for r in bags.select("recipe_id").distinct().collect()}
+    d = {(a, b): sum(abs(recipes[a].get(i, 0) - recipes[b].get(i, 0)) for i in PATHS) for a, b in itertools.combinations(sorted(kept), 2)}
+    assert got == {k: pytest.approx(v) for k, v in d.items() if v <= 1 + 1e-9}
+    assert out.count() == len(got)
+    near = {(r["id1"], r["id2"]): r["d"] for r in N.nearest_bags(bags, 3).collect()}
+    both = {**d, **{(b, a): v for (a, b), v in d.items()}}
+    for a in kept:
+        want = sorted((round(v, 6), y) for (x, y), v in both.items() if x == a and v < 2 - 1e-9)[:3]
+        assert [(pytest.approx(v, abs=1e-6), y) for v, y in want] == sorted((v, y) for (x, y), v in near.items() if x == a)
+
+
 def test_copies_are_told_by_rounded_weights(spark):
     matrix = matrix_of(spark, {1: {5: 0.1 + 0.2, 6: 0.7}, 2: {5: 0.3, 6: 0.7}, 3: {5: 0.3001, 6: 0.6999}})
     _, members = B.collapse_copies(matrix)
@@ -318,6 +342,19 @@ def test_cost_grid_tells_pairs_one_way(spark):
     assert "least(i" in grid._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_costs_are_told_where_ingredients_meet(spark, tree):
+    """The same rows as the grid joined with the tree, and no join with it after the pairs."""
+    from blendspark.operators import costs as C
+
+    bags = matrix_of(spark, random_recipes(4))
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(12) if a < b], "id1 long, id2 long")
+    got = C.met_cost(tree, bags, pairs)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(tuple(r) for r in C.initial_cost(tree, C.cost_grid(bags, pairs)).collect()) and len(rows) > 20
+    assert got.dtypes == [("i", "bigint"), ("j", "bigint"), ("cost", "double")]
+    assert C.met_cost(tree, bags, pairs.limit(0)).count() == bags.select("ingredient_id").distinct().count()
+
+
 def test_pairs_move_as_one_row(spark, tree):
     """Costs that are grouped by pair are not shuffled again; flows and swaps are told where
     the pair is, and nothing is written for them."""
